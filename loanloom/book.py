@@ -45,6 +45,7 @@ class LoanBook:
         self.folder = folder
 
     def records(self) -> DataFrame:
+        """Raw borrower columns straight from the raw tables, as one lazy plan."""
         return borrowers.borrower_records(self.spark, self.folder)
 
     def bank(self) -> DataFrame:
@@ -54,7 +55,7 @@ class LoanBook:
         return borrowers.bureau_file(self.raw())
 
     def raw(self) -> DataFrame:
-        """Raw borrower columns, written once."""
+        """Raw borrower columns, written once; both source files are projections of it."""
         return self._once("raw", self.records)
 
     def silver(self) -> DataFrame:

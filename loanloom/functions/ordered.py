@@ -9,7 +9,7 @@ the time the plan is built, so a task that is run again lands in the same range.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -22,24 +22,26 @@ RANGES_PER_PARTITION = 2
 HOT_SHARE = 1000
 
 
-def _range_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, RANGES_PER_PARTITION * partitions)
+def range_limits(rows: DataFrame, column: str, ranges: int | None = None) -> list[float]:
+    """Limits that cut a column into ranges of about as many rows each.
 
-
-def with_range(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
-    """Add the index of the value range of ``key``; equal values share a range.
-
-    Limits come from a quantile sketch of bounded size, as in a range shuffle.
+    One narrow scan into a sketch of bounded size. A range holds no more distinct
+    values than rows, so hot values cannot make a range too large: a limit that
+    repeats counts once.
     """
-    ranges = ranges or _range_count(df)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(2, RANGES_PER_PARTITION * partitions)
     shares = [i / ranges for i in range(1, ranges)]
-    sketch = F.percentile_approx(F.col(key).cast("double"), shares, max(10_000, 20 * ranges))
-    limits = df.select(sketch.alias("limits")).first()["limits"] or []
-    inner = sorted({float(x) for x in limits if math.isfinite(x)})
-    if not inner:
+    sketch = F.percentile_approx(F.col(column).cast("double"), shares, max(10_000, 20 * ranges))
+    limits = rows.select(sketch.alias("limits")).first()["limits"] or []
+    return sorted({float(x) for x in limits if math.isfinite(x)})
+
+
+def _with_range(df: DataFrame, key: str, limits: Sequence[float]) -> DataFrame:
+    """Index of the range a value falls in; equal values share a range."""
+    if not limits:
         return df.withColumn(_RANGE, F.lit(0.0))
-    return Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol=key, outputCol=_RANGE,
+    return Bucketizer(splits=[-math.inf, *limits, math.inf], inputCol=key, outputCol=_RANGE,
                       handleInvalid="keep").transform(df)
 
 
@@ -48,12 +50,11 @@ def _same(left: str, right: str, names: Sequence[str]) -> Column:
 
 
 def running_totals(df: DataFrame, key: str, values: Sequence[str], *, by: Sequence[str] = (),
-                   descending: bool = False, bounded: bool = False,
-                   ranges: int | None = None) -> DataFrame:
+                   descending: bool = False, limits: Sequence[float] | None = None) -> DataFrame:
     """Add ``<value>_before``: the sum over all rows that come before this one.
 
-    ``df`` holds one row per ``by`` and ``key``. ``bounded`` promises few distinct keys
-    per group (a score scale, a grid) and uses one plain window per group instead.
+    ``df`` holds one row per ``by`` and ``key``. Without ``limits`` the keys of a group
+    must be few (a score scale, a grid): one plain window per group serves them.
     """
     by = list(by)
     step = F.col(key).desc() if descending else F.col(key).asc()
@@ -61,11 +62,11 @@ def running_totals(df: DataFrame, key: str, values: Sequence[str], *, by: Sequen
     def before(window):
         return {f"{v}_before": F.coalesce(F.sum(v).over(window), F.lit(0)) for v in values}
 
-    if bounded:
+    if limits is None:
         window = Window.partitionBy(*by).orderBy(step)
         return df.withColumns(before(window.rowsBetween(Window.unboundedPreceding, -1)))
 
-    split = with_range(df, key, ranges)
+    split = _with_range(df, key, limits)
     inside = Window.partitionBy(*by, _RANGE).orderBy(step)
     local = split.withColumns(before(inside.rowsBetween(Window.unboundedPreceding, -1)))
     range_step = F.col(_RANGE).desc() if descending else F.col(_RANGE).asc()
@@ -75,22 +76,21 @@ def running_totals(df: DataFrame, key: str, values: Sequence[str], *, by: Sequen
                       *[c.alias(f"_start_{n}") for n, c in
                         before(across.rowsBetween(Window.unboundedPreceding, -1)).items()]))
     joined = local.alias("l").join(starts.alias("s"), _same("l", "s", [*by, _RANGE]))
-    added = {f"{v}_before" for v in values}
+    added = [f"{v}_before" for v in values]
     keep = [F.col(f"l.{c}") for c in local.columns if c not in added and c != _RANGE]
-    return joined.select(*keep, *[(F.col(f"l.{n}") + F.col(f"s._start_{n}")).alias(n)
-                                  for n in (f"{v}_before" for v in values)])
+    return joined.select(*keep, *[(F.col(f"l.{n}") + F.col(f"s._start_{n}")).alias(n) for n in added])
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], *,
-                    by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
+                    by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation, one column ``q<i>`` per share.
 
     Value counts are cumulated over ranges, so no task ever holds all values of a group.
     """
     by = list(by)
-    counts = (df.where(F.col(column).isNotNull())
-              .groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
-    placed = running_totals(counts, "_v", ["_n"], by=by, bounded=bounded)
+    rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
+    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    placed = running_totals(counts, "_v", ["_n"], by=by, limits=range_limits(rows, "_v"))
     sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
     if by:
         both = placed.alias("p").join(sizes.alias("t"), _same("p", "t", by)).select("p.*", "t._size")
@@ -133,29 +133,38 @@ def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(known(c), F.lit(middle[c]).cast("double")) for c in holes})
 
 
-def dense_rank_desc(df: DataFrame, column: str, output: str, spread_by: str) -> DataFrame:
-    """Dense rank of every row, 1 = largest value; NULL values get no rank.
-
-    Ranks are computed on distinct values and joined back. A value held by more than
-    one row in ``HOT_SHARE`` is hot: its rank row is copied and its rows spread over
-    the copies. Fewer than ``HOT_SHARE`` values can be hot, so that list stays small.
-    """
-    counts = (df.where(F.col(column).isNotNull())
-              .groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n")))
-    ranked = (running_totals(counts.withColumn("_one", F.lit(1)), "_v", ["_one"], descending=True)
+def _with_looked_up_rank(df: DataFrame, source: DataFrame, column: str, output: str,
+                         spread_by: str) -> DataFrame:
+    rows = source.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
+    counts = rows.groupBy("_v").agg(F.count("*").alias("_n"))
+    ranked = (running_totals(counts.withColumn("_one", F.lit(1)), "_v", ["_one"], descending=True,
+                             limits=range_limits(rows, "_v"))
               .select("_v", (F.col("_one_before") + 1).cast("long").alias(output)))
-    rows = counts.agg(F.sum("_n")).scalar()
-    hot = (counts.withColumn("_copies", F.ceil(F.col("_n") * HOT_SHARE / rows).cast("int"))
-           .where(F.col("_n") * HOT_SHARE > rows).select("_v", "_copies"))
+    everyone = counts.agg(F.sum("_n")).scalar()
+    hot = (counts.where(F.col("_n") * HOT_SHARE > everyone)
+           .select("_v", F.ceil(F.col("_n") * HOT_SHARE / everyone).cast("int").alias("_copies")))
     one = F.lit(1)
     copied = (ranked.join(F.broadcast(hot), "_v", "left")
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", one) - 1)))
               .drop("_copies"))
     spread = F.when(F.col(column).isNull(), F.lit(HOT_SHARE)).otherwise(F.coalesce("_copies", one))
     salted = (df.join(F.broadcast(hot), F.col(column) == F.col("_v"), "left").drop("_v")
-              .withColumn("_salt", F.pmod(F.xxhash64(spread_by), spread).cast("int"))
-              .drop("_copies"))
+              .withColumn("_salt", F.pmod(F.xxhash64(spread_by), spread).cast("int")).drop("_copies"))
     return (salted.alias("r")
             .join(copied.alias("k"), (F.col(f"r.{column}") == F.col("k._v"))
                   & (F.col("r._salt") == F.col("k._salt")), "left")
             .select("r.*", f"k.{output}").drop("_salt"))
+
+
+def dense_ranks_desc(df: DataFrame, outputs: Mapping[str, str], spread_by: str) -> DataFrame:
+    """Dense rank of every row by each column, 1 = largest value; NULL gets no rank.
+
+    ``outputs`` maps a column to the name of its rank. Ranks are computed on distinct
+    values and joined back. A value held by more than one row in ``HOT_SHARE`` is hot:
+    its rank row is copied and its rows are spread over the copies. Fewer than
+    ``HOT_SHARE`` values can be hot, so that list is small enough to broadcast.
+    """
+    ranked = df
+    for column, output in outputs.items():
+        ranked = _with_looked_up_rank(ranked, df, column, output, spread_by)
+    return ranked

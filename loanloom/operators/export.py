@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loanloom import constants as K
 from loanloom.functions import bands
 from loanloom.functions.columns import (at_least_zero, count_where, first_present, flag, to_number)
-from loanloom.functions.ordered import dense_rank_desc
+from loanloom.functions.ordered import dense_ranks_desc
 
 # ---- fixed values: column order of the export, inputs in order of preference ---------------
 ID_COLUMNS = ("customer_id", "Customer_ID", "PROSPECTID", "borrower_id")
@@ -70,8 +70,7 @@ def band_columns(df: DataFrame) -> DataFrame:
 
 def ranks(df: DataFrame, key: str = K.KEY) -> DataFrame:
     """Dense rank of every borrower by probability and by expected loss."""
-    by_risk = dense_rank_desc(df, "predicted_pd", "risk_rank", key)
-    return dense_rank_desc(by_risk, "expected_loss", "loss_rank", key)
+    return dense_ranks_desc(df, {"predicted_pd": "risk_rank", "expected_loss": "loss_rank"}, key)
 
 
 def business_columns(scored: DataFrame, key: str = K.KEY) -> DataFrame:
@@ -109,4 +108,4 @@ def export_summary(export: DataFrame) -> DataFrame:
         F.count("*").alias("total_rows"), F.avg("approved_flag").alias("approval_rate"),
         F.avg("predicted_pd").alias("avg_pd"), F.avg("high_risk_flag").alias("high_risk_share"),
         count_where(F.col("watchlist_flag") == 1).alias("watchlist_count"),
-        F.sum("expected_loss").alias("total_expected_loss"))
+        F.round(F.sum("expected_loss"), 2).alias("total_expected_loss"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loanloom import constants as K
 from loanloom.functions.columns import at_least_zero, count_where, fixed_rows, ratio_or_null
-from loanloom.functions.ordered import running_totals
+from loanloom.functions.ordered import range_limits, running_totals
 
 
 def rule_pd() -> Column:
@@ -78,7 +78,8 @@ def _auc_of(placed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def auc(df: DataFrame, score: str = "predicted_pd", label: str = K.TARGET) -> DataFrame:
     """Area under the ROC curve by rank sums; ties count one half."""
-    return _auc_of(running_totals(class_counts(df, score, label), "score", ["neg"]))
+    return _auc_of(running_totals(class_counts(df, score, label), "score", ["neg"],
+                                  limits=range_limits(df, score)))
 
 
 def single_feature_auc(df: DataFrame, features: Sequence[str], label: str = K.TARGET) -> DataFrame:
@@ -92,7 +93,7 @@ def single_feature_auc(df: DataFrame, features: Sequence[str], label: str = K.TA
     counts = (long.where(F.col("score").isNotNull()).groupBy("feature", "score")
               .agg(count_where(F.col(label) == 1).alias("pos"),
                    count_where(F.col(label) != 1).alias("neg")))
-    placed = running_totals(counts, "score", ["neg"], by=["feature"])
+    placed = running_totals(counts, "score", ["neg"], by=["feature"], limits=range_limits(long, "score"))
     oriented = F.greatest(F.col("auc"), F.lit(1.0) - F.col("auc"))
     return _auc_of(placed, ["feature"]).withColumn("auc", oriented).withColumn(
         "leakage_suspected", F.coalesce(F.col("auc") > K.LEAKAGE_AUC, F.lit(False)))
@@ -108,7 +109,8 @@ def roc_points(df: DataFrame, score: str = "predicted_pd", label: str = K.TARGET
     counts = class_counts(df, score, label)
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     all_pos, all_neg = totals.select("p").scalar(), totals.select("n").scalar()
-    placed = running_totals(counts, "score", ["pos", "neg"], descending=True)
+    placed = running_totals(counts, "score", ["pos", "neg"], descending=True,
+                            limits=range_limits(df, score))
     if drop_collinear:
         after = placed.select(F.col("pos_before").alias("pos_done"),
                               F.col("neg_before").alias("neg_done"),
@@ -135,7 +137,8 @@ def pr_points(df: DataFrame, score: str = "predicted_pd", label: str = K.TARGET)
     """Precision and recall at every distinct score, and the closing point (1, 0)."""
     counts = class_counts(df, score, label)
     all_pos = counts.agg(F.sum("pos")).scalar()
-    placed = running_totals(counts, "score", ["pos", "neg"], descending=True)
+    placed = running_totals(counts, "score", ["pos", "neg"], descending=True,
+                            limits=range_limits(df, score))
     hits = F.col("pos_before") + F.col("pos")
     flagged = hits + F.col("neg_before") + F.col("neg")
     points = placed.select(F.col("score").alias("threshold"),
@@ -191,18 +194,21 @@ def threshold_table(df: DataFrame, cutoffs: Sequence[float] = K.POLICY_CUTOFFS,
 
 
 def threshold_display(df: DataFrame, score: str = "predicted_pd", label: str = K.TARGET) -> DataFrame:
-    """The shorter grid with the current decision threshold marked, numbers as text."""
+    """The shorter grid with the current decision threshold marked, numbers as text.
+
+    Text rounds half to even, unlike the formatter itself.
+    """
     table = threshold_table(df, K.DISPLAY_CUTOFFS, score, label)
 
     def pct(name):
-        return F.format_string("%.1f%%", F.col(name))
+        return F.format_string("%.1f%%", F.bround(F.col(name), 1))
 
     current = F.abs(F.col("threshold") - K.DECISION_THRESHOLD) < 0.01
     return table.select(
         F.format_string("%.2f", F.col("threshold")).alias("threshold"),
         pct("approval_rate_pct").alias("approval"), pct("defaults_caught_pct").alias("recall"),
         pct("precision_pct").alias("precision"), pct("false_alarm_rate_pct").alias("false_alarm"),
-        F.format_string("%.3f", F.col("f1_score")).alias("f1"),
+        F.format_string("%.3f", F.bround("f1_score", 3)).alias("f1"),
         F.when(current, "◀").otherwise("").alias("current"))
 
 
