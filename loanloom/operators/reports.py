@@ -18,8 +18,6 @@ from loanloom.functions.columns import (count_where, mean_where, percent, ratio_
                                         unpivot_rows, weighted_sum)
 from loanloom.functions.rounding import present
 
-ALL = Window.partitionBy()
-
 
 def _defaults() -> Column:
     return F.sum(F.col(K.TARGET).cast("long"))
@@ -31,7 +29,7 @@ def _default_rate() -> Column:
 
 def _portfolio_share(count: str = "borrower_count") -> Column:
     """Share of the grand total; used on banded results of a handful of rows only."""
-    return percent(F.col(count), F.sum(count).over(ALL))
+    return percent(F.col(count), F.sum(count).over(Window.partitionBy()))
 
 
 def portfolio_health(borrowers: DataFrame) -> DataFrame:
@@ -97,7 +95,7 @@ def history_vs_default(borrowers: DataFrame) -> DataFrame:
                     F.avg("enq_L6m").alias("avg_recent_enquiries"),
                     F.avg("num_times_delinquent").alias("avg_delinquencies"),
                     F.avg("Age_Oldest_TL").alias("_place")))
-    safest = F.min("default_rate_pct").over(ALL)
+    safest = F.min("default_rate_pct").over(Window.partitionBy())
     return (grouped.withColumns({"pct_of_portfolio": _portfolio_share(),
                                  "relative_risk_vs_safest": ratio_or_null(F.col("default_rate_pct"), safest)})
             .orderBy("_place").drop("_place"))
