@@ -128,12 +128,22 @@ def t_critical(freedom: Column) -> Column:
             + F.lit(terms[2]) / (d * d * d))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r over complete pairs; NULL where one side does not vary.
+
+    The built-in aggregate raises a division error there instead.
+    """
+    x = F.when(b.isNotNull(), a.cast("double"))
+    y = F.when(a.isNotNull(), b.cast("double"))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def signal_table(fact: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """Correlation of every numeric feature with the target, all in one pass."""
     names = list(features or numeric_columns(fact, K.SIGNAL_EXCLUDED))
     target = F.col(K.TARGET)
     seen = fact.agg(*[x for c in names for x in (
-        F.corr(F.col(c).cast("double"), target.cast("double")).alias(f"{c}_r"),
+        correlation(F.col(c), target).alias(f"{c}_r"),
         F.count(F.when(target.isNotNull(), F.col(c))).alias(f"{c}_n"))])
     long = unpivot_rows(seen, ("feature", "r", "n"),
                         [(F.lit(c), F.col(f"{c}_r"), F.col(f"{c}_n")) for c in names])
