@@ -62,15 +62,21 @@ class LoanBook:
         return self._once("silver", lambda: silver.silver_master(self.bank(), self.bureau()))
 
     def operational(self, name: str) -> DataFrame:
-        return silver.operational_tables(self.silver())[name]
+        return silver.OPERATIONAL[name](self.silver())
 
     def gold(self, name: str) -> DataFrame:
-        return gold.star_schema(self.silver())[name]
+        return gold.OUTPUTS[name](self.silver())
 
     def scored(self) -> DataFrame:
         """Silver with the rule-based probability of default."""
         return self.silver().withColumn("predicted_pd", scoring.rule_pd())
 
+    def refresh(self) -> None:
+        """Forget the written layers, so that the next use reads the raw tables again."""
+        application = self.spark.sparkContext.applicationId
+        for slot in [s for s in _written if s[:2] == (application, self.folder)]:
+            del _written[slot]
+
     def _once(self, layer: str, build) -> DataFrame:
         spark = self.spark
         slot = (spark.sparkContext.applicationId, self.folder, layer)

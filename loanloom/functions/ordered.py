@@ -17,8 +17,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanloom.functions.columns import unpivot_rows
+
 _RANGE = "_range"
 RANGES_PER_PARTITION = 2
+MAX_RANGES = 8000
 HOT_SHARE = 1000
 
 
@@ -30,9 +33,9 @@ def range_limits(rows: DataFrame, column: str, ranges: int | None = None) -> lis
     repeats counts once.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges or max(2, RANGES_PER_PARTITION * partitions)
+    ranges = ranges or min(MAX_RANGES, max(2, RANGES_PER_PARTITION * partitions))
     shares = [i / ranges for i in range(1, ranges)]
-    sketch = F.percentile_approx(F.col(column).cast("double"), shares, max(10_000, 20 * ranges))
+    sketch = F.percentile_approx(F.col(column).cast("double"), shares, max(10_000, 5 * ranges))
     limits = rows.select(sketch.alias("limits")).first()["limits"] or []
     return sorted({float(x) for x in limits if math.isfinite(x)})
 
@@ -113,8 +116,11 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], *,
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact median of each column, as plain numbers."""
-    return {c: exact_quantiles(df, c, [0.5]).first()["q0"] for c in columns}
+    """Exact median of each column, as plain numbers; all columns share one job."""
+    pairs = [(F.lit(c), F.col(c).cast("double")) for c in columns]
+    middle = exact_quantiles(unpivot_rows(df, ("name", "value"), pairs), "value", [0.5], by=["name"])
+    found = {row["name"]: row["q0"] for row in middle.collect()}
+    return {c: found.get(c) for c in columns}
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:

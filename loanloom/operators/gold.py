@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,20 +106,23 @@ def risk_by_education(fact: DataFrame) -> DataFrame:
     return _summary(fact, "education").orderBy(F.desc("default_rate_pct"))
 
 
+# name of each Gold output = how it is built from the silver table
+OUTPUTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "dim_borrower": dim_borrower,
+    "dim_credit": dim_credit,
+    "dim_loan_portfolio": dim_loan_portfolio,
+    "fact_credit_risk": fact_credit_risk,
+    "v_risk_by_cibil_band": lambda silver: risk_by_score_band(fact_credit_risk(silver)),
+    "v_risk_by_income": lambda silver: risk_by_income(fact_credit_risk(silver)),
+    "v_risk_by_age": lambda silver: risk_by_age(fact_credit_risk(silver)),
+    "v_gold_loan_analysis": lambda silver: risk_by_gold_loan(fact_credit_risk(silver)),
+    "v_risk_by_education": lambda silver: risk_by_education(fact_credit_risk(silver)),
+}
+
+
 def star_schema(silver: DataFrame) -> dict[str, DataFrame]:
-    """All nine Gold outputs by name; nothing runs until one of them is used."""
-    fact = fact_credit_risk(silver)
-    return {
-        "dim_borrower": dim_borrower(silver),
-        "dim_credit": dim_credit(silver),
-        "dim_loan_portfolio": dim_loan_portfolio(silver),
-        "fact_credit_risk": fact,
-        "v_risk_by_cibil_band": risk_by_score_band(fact),
-        "v_risk_by_income": risk_by_income(fact),
-        "v_risk_by_age": risk_by_age(fact),
-        "v_gold_loan_analysis": risk_by_gold_loan(fact),
-        "v_risk_by_education": risk_by_education(fact),
-    }
+    """All nine Gold outputs by name."""
+    return {name: build(silver) for name, build in OUTPUTS.items()}
 
 
 def star_join(fact: DataFrame, *dimensions: DataFrame) -> DataFrame:

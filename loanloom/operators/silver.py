@@ -141,17 +141,29 @@ def silver_master(bank: DataFrame, bureau: DataFrame) -> DataFrame:
     return join_sources(clean_bureau, clean_bank).transform(engineer_features)
 
 
-def operational_tables(silver: DataFrame) -> dict[str, DataFrame]:
-    """The three tables the report library reads, all keyed by ``borrower_id``."""
-    borrowers = silver.withColumn("borrower_id", F.col(K.KEY))
+def borrowers(silver: DataFrame) -> DataFrame:
+    return silver.withColumn("borrower_id", F.col(K.KEY))
+
+
+def delinquency_summary(silver: DataFrame) -> DataFrame:
+    """Every column whose name speaks of delays, and the target."""
+    delays = [c for c in matching_columns(silver, K.DELINQUENCY_SUMMARY_PATTERNS) if c != K.TARGET]
+    return silver.select(F.col(K.KEY).alias("borrower_id"), *delays, K.TARGET)
+
+
+def risk_segments(silver: DataFrame) -> DataFrame:
     extreme = (F.col("enq_L6m") >= 4) & (F.col("Age_Oldest_TL") < 24)
     high = (F.col("enq_L6m") >= 3) | (F.col("num_times_60p_dpd") >= 1)
     first, second, last = K.RISK_SEGMENTS
     segment = F.when(extreme, first).when(high, second).otherwise(last)
-    delays = [c for c in matching_columns(silver, K.DELINQUENCY_SUMMARY_PATTERNS) if c != K.TARGET]
-    return {
-        "borrowers": borrowers,
-        "delinquency_summary": borrowers.select("borrower_id", *delays, K.TARGET),
-        "risk_segments": borrowers.select("borrower_id", segment.alias("risk_segment"), K.TARGET,
-                                          "AGE", "NETMONTHLYINCOME"),
-    }
+    return silver.select(F.col(K.KEY).alias("borrower_id"), segment.alias("risk_segment"), K.TARGET,
+                         "AGE", "NETMONTHLYINCOME")
+
+
+# the three tables the report library reads, all keyed by ``borrower_id``
+OPERATIONAL = {"borrowers": borrowers, "delinquency_summary": delinquency_summary,
+               "risk_segments": risk_segments}
+
+
+def operational_tables(silver: DataFrame) -> dict[str, DataFrame]:
+    return {name: build(silver) for name, build in OPERATIONAL.items()}

@@ -129,6 +129,8 @@ def test_layers_are_written_once_to_the_named_folder(spark, folder):
     first, second = book.silver().inputFiles(), LoanBook(spark, folder).silver().inputFiles()
     assert first == second
     assert all(shared_folder(spark) in f for f in first)
+    book.refresh()
+    assert book.silver().inputFiles() != first
 
 
 def test_no_folder_on_a_cluster_means_no_local_files(spark, folder, monkeypatch):
@@ -138,3 +140,10 @@ def test_no_folder_on_a_cluster_means_no_local_files(spark, folder, monkeypatch)
     lazily = LoanBook(spark, folder).silver()
     assert all("/loanloom/" not in f for f in lazily.inputFiles())
     assert lazily.count() == spark.read.parquet(f"{folder}/customer.parquet").count()
+
+
+def test_settings_follow_the_data():
+    from loanloom.session import settings
+    assert settings(0, 4)["spark.sql.shuffle.partitions"] == "8"
+    assert int(settings(100 * 2**40, 8000)["spark.sql.shuffle.partitions"]) == 100_000
+    assert settings(10 * 2**30, 4)["spark.sql.shuffle.partitions"] == "41"
