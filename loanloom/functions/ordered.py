@@ -9,35 +9,49 @@ the time the plan is built, so a task that is run again lands in the same range.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
+from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanloom.functions.columns import unpivot_rows
+from loanloom.functions.columns import fixed_rows, unpivot_rows
 
 _RANGE = "_range"
 RANGES_PER_PARTITION = 2
 MAX_RANGES = 8000
-HOT_SHARE = 1000
 
 
-def range_limits(rows: DataFrame, column: str, ranges: int | None = None) -> list[float]:
-    """Limits that cut a column into ranges of about as many rows each.
+class Ranges(NamedTuple):
+    """Limits of value ranges, and the values that fill more than one range on their own."""
+
+    limits: list[float]
+    hot: dict[float, int]
+
 
-    One narrow scan into a sketch of bounded size. A range holds no more distinct
-    values than rows, so hot values cannot make a range too large: a limit that
-    repeats counts once.
+def value_ranges(rows: DataFrame, column: str, ranges: int | None = None) -> Ranges:
+    """Cut a column into ranges of about as many rows each.
+
+    One narrow scan into a sketch of bounded size. A range holds no more distinct values
+    than rows, so hot values cannot make a range too large. A limit that repeats is a hot
+    value; it fills about as many ranges as it repeats. Results never depend on how exact
+    the sketch is, only the balance of the work does.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or min(MAX_RANGES, max(2, RANGES_PER_PARTITION * partitions))
     shares = [i / ranges for i in range(1, ranges)]
     sketch = F.percentile_approx(F.col(column).cast("double"), shares, max(10_000, 5 * ranges))
-    limits = rows.select(sketch.alias("limits")).first()["limits"] or []
-    return sorted({float(x) for x in limits if math.isfinite(x)})
+    found = rows.select(sketch.alias("limits")).first()["limits"] or []
+    times = Counter(float(x) for x in found if math.isfinite(x))
+    return Ranges(sorted(times), {value: n for value, n in times.items() if n > 1})
+
+
+def range_limits(rows: DataFrame, column: str, ranges: int | None = None) -> list[float]:
+    return value_ranges(rows, column, ranges).limits
 
 
 def _with_range(df: DataFrame, key: str, limits: Sequence[float]) -> DataFrame:
@@ -48,8 +62,14 @@ def _with_range(df: DataFrame, key: str, limits: Sequence[float]) -> DataFrame:
                       handleInvalid="keep").transform(df)
 
 
-def _same(left: str, right: str, names: Sequence[str]) -> Column:
-    return reduce(and_, [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names])
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+    """Equal keys, NULL equal to NULL; plain equality where NULL cannot occur."""
+    def pair(name):
+        a, b = F.col(f"l.{name}"), F.col(f"r.{name}")
+        nullable = left.schema[name].nullable and right.schema[name].nullable and name != _RANGE
+        return a.eqNullSafe(b) if nullable else a == b
+
+    return reduce(and_, [pair(n) for n in names])
 
 
 def running_totals(df: DataFrame, key: str, values: Sequence[str], *, by: Sequence[str] = (),
@@ -78,10 +98,10 @@ def running_totals(df: DataFrame, key: str, values: Sequence[str], *, by: Sequen
               .select(*by, _RANGE,
                       *[c.alias(f"_start_{n}") for n, c in
                         before(across.rowsBetween(Window.unboundedPreceding, -1)).items()]))
-    joined = local.alias("l").join(starts.alias("s"), _same("l", "s", [*by, _RANGE]))
+    joined = local.alias("l").join(starts.alias("r"), _same(local, starts, [*by, _RANGE]))
     added = [f"{v}_before" for v in values]
     keep = [F.col(f"l.{c}") for c in local.columns if c not in added and c != _RANGE]
-    return joined.select(*keep, *[(F.col(f"l.{n}") + F.col(f"s._start_{n}")).alias(n) for n in added])
+    return joined.select(*keep, *[(F.col(f"l.{n}") + F.col(f"r._start_{n}")).alias(n) for n in added])
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], *,
@@ -96,7 +116,7 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], *,
     placed = running_totals(counts, "_v", ["_n"], by=by, limits=range_limits(rows, "_v"))
     sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
     if by:
-        both = placed.alias("p").join(sizes.alias("t"), _same("p", "t", by)).select("p.*", "t._size")
+        both = placed.alias("l").join(sizes.alias("r"), _same(placed, sizes, by)).select("l.*", "r._size")
     else:
         both = placed.withColumn("_size", sizes.scalar())
 
@@ -142,19 +162,22 @@ def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _with_looked_up_rank(df: DataFrame, source: DataFrame, column: str, output: str,
                          spread_by: str) -> DataFrame:
     rows = source.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
-    counts = rows.groupBy("_v").agg(F.count("*").alias("_n"))
-    ranked = (running_totals(counts.withColumn("_one", F.lit(1)), "_v", ["_one"], descending=True,
-                             limits=range_limits(rows, "_v"))
+    ranges = value_ranges(rows, "_v")
+    values = rows.distinct().withColumn("_one", F.lit(1))
+    ranked = (running_totals(values, "_v", ["_one"], descending=True, limits=ranges.limits)
               .select("_v", (F.col("_one_before") + 1).cast("long").alias(output)))
-    everyone = counts.agg(F.sum("_n")).scalar()
-    hot = (counts.where(F.col("_n") * HOT_SHARE > everyone)
-           .select("_v", F.ceil(F.col("_n") * HOT_SHARE / everyone).cast("int").alias("_copies")))
-    one = F.lit(1)
-    copied = (ranked.join(F.broadcast(hot), "_v", "left")
-              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", one) - 1)))
-              .drop("_copies"))
-    spread = F.when(F.col(column).isNull(), F.lit(HOT_SHARE)).otherwise(F.coalesce("_copies", one))
-    salted = (df.join(F.broadcast(hot), F.col(column) == F.col("_v"), "left").drop("_v")
+
+    def with_copies(frame: DataFrame, value: str) -> DataFrame:
+        if not ranges.hot:
+            return frame.withColumn("_copies", F.lit(1))
+        hot = fixed_rows(df.sparkSession, "_hot double, _n int", list(ranges.hot.items()))
+        return (frame.join(F.broadcast(hot), F.col(value).cast("double") == F.col("_hot"), "left")
+                .withColumn("_copies", F.coalesce("_n", F.lit(1))).drop("_hot", "_n"))
+
+    copied = (with_copies(ranked, "_v")
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies"))
+    spread = F.when(F.col(column).isNull(), F.lit(len(ranges.limits) + 1)).otherwise(F.col("_copies"))
+    salted = (with_copies(df, column)
               .withColumn("_salt", F.pmod(F.xxhash64(spread_by), spread).cast("int")).drop("_copies"))
     return (salted.alias("r")
             .join(copied.alias("k"), (F.col(f"r.{column}") == F.col("k._v"))
@@ -166,9 +189,9 @@ def dense_ranks_desc(df: DataFrame, outputs: Mapping[str, str], spread_by: str)
     """Dense rank of every row by each column, 1 = largest value; NULL gets no rank.
 
     ``outputs`` maps a column to the name of its rank. Ranks are computed on distinct
-    values and joined back. A value held by more than one row in ``HOT_SHARE`` is hot:
-    its rank row is copied and its rows are spread over the copies. Fewer than
-    ``HOT_SHARE`` values can be hot, so that list is small enough to broadcast.
+    values and joined back. The rank row of a hot value is copied and its rows are spread
+    over the copies; rows without a value are spread as well. The list of hot values is
+    shorter than half the number of ranges, so it is safe to broadcast.
     """
     ranked = df
     for column, output in outputs.items():
