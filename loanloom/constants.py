@@ -192,3 +192,46 @@ NO_RISK_SIGNAL = "No significant risk signals detected."
 NO_REASON = "—"
 ATTRIBUTION_CUTOFF = 0.05
 RECOMMENDATION_PREVIEW = 60
+
+# ---- fixed values: sentences; {whole} cuts the fraction, {rounded} and {percent} round it,
+# ---- {rupees} adds the currency sign and thousands separators
+RISK_SENTENCES = {
+    "enq_L6m": "Applied to {whole} lenders in the last 6 months — indicates financial stress",
+    "num_times_delinquent": "Missed {whole} payment(s) historically — pattern of non-repayment",
+    "num_times_60p_dpd": "Has {whole} serious 60+ day delinquency event(s) on record",
+    "missed_payment_ratio": "Missed {percent}% of payments — high missed payment frequency",
+    "delinquency_score": "Delinquency severity score of {rounded} — above risk threshold",
+    "active_loan_ratio": "{percent}% of loans are currently active — heavily overextended",
+    "Age_Oldest_TL": "Established {whole}-month credit history — positive stability signal",
+    "NETMONTHLYINCOME": "Monthly income of {rupees} — limited repayment buffer",
+    "Gold_TL": "Has {whole} gold loan(s) — may indicate collateral-backed stress borrowing",
+    "enq_acceleration": "Enquiry pace has increased recently — accelerating credit search",
+}
+# sentences that take the place of the above where the condition on the value holds
+RISK_SENTENCE_EXCEPTIONS = {
+    "Age_Oldest_TL": ("< 24", "Credit history of only {whole} months — insufficient track record"),
+    "NETMONTHLYINCOME": ("> 20000", "Monthly income of {rupees} — adequate repayment capacity"),
+}
+SAFE_SENTENCES = {
+    "Age_Oldest_TL": "{whole}-month credit history — strong repayment track record",
+    "NETMONTHLYINCOME": "Monthly income of {rupees} — good repayment capacity",
+    "loan_type_diversity": "Manages {whole} loan type(s) — diversified credit experience",
+    "Total_TL": "{whole} total loan accounts — experienced borrower profile",
+}
+OTHER_RISK_ENDING, OTHER_SAFE_ENDING = " (increases risk)", " (reduces risk)"
+# rules that need no attribution: feature, at least, weight, label, value if the column is absent
+RISK_RULES = (("enq_L6m", 4, 0.9, "Recent enquiries", 0),
+              ("num_times_delinquent", 2, 0.65, "Missed payments", 0),
+              ("num_times_60p_dpd", 1, 0.45, "60+ DPD", 0))
+SAFE_RULES = (("Age_Oldest_TL", 48, -0.46, "Credit history", 120),
+              ("NETMONTHLYINCOME", 25000, -0.20, "Monthly income", 30000))
+# the application scorer's list: mark, feature, condition, sentence
+APPLICATION_RULES = (
+    ("▲ RISK", "enq_L6m", ">= 4", "Applied to {whole} lenders in 6 months — financial stress signal"),
+    ("▲ RISK", "num_times_delinquent", ">= 2", "{whole} missed payments on record — non-repayment pattern"),
+    ("▲ RISK", "num_times_60p_dpd", ">= 1", "{whole} serious 60+ DPD event(s) — recovery rate low"),
+    ("~ CAUTION", "missed_payment_ratio", "> 0.2", "{percent}% of payments missed — above threshold"),
+    ("▼ SAFE", "Age_Oldest_TL", ">= 36", "{whole}-month credit history — positive stability signal"),
+    ("▼ SAFE", "NETMONTHLYINCOME", ">= 25000", "{rupees}/month income — adequate repayment capacity"),
+)
+SUMMARY_SENTENCE = ("Predicted default probability: ", "%. Primary concern: ")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,64 +13,37 @@ from loanloom import constants as K
 PD = "predicted_pd"
 
 
-def _whole(value: Column) -> Column:
-    """Number without its fraction, as text."""
-    return value.cast("long").cast("string")
-
-
-def _rounded(value: Column) -> Column:
-    return F.bround(value.cast("double"), 0).cast("long").cast("string")
-
-
-def _rupees(value: Column) -> Column:
-    return F.concat(F.lit("₹"), F.format_number(value.cast("double"), 0))
-
-
-def _say(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
-# ---- fixed values: sentences, one per feature ------------------------------------------------
-RISK_SENTENCES: dict[str, Callable[[Column], Column]] = {
-    "enq_L6m": lambda v: _say(
-        "Applied to ", _whole(v), " lenders in the last 6 months — indicates financial stress"),
-    "num_times_delinquent": lambda v: _say(
-        "Missed ", _whole(v), " payment(s) historically — pattern of non-repayment"),
-    "num_times_60p_dpd": lambda v: _say(
-        "Has ", _whole(v), " serious 60+ day delinquency event(s) on record"),
-    "missed_payment_ratio": lambda v: _say(
-        "Missed ", _rounded(v * 100), "% of payments — high missed payment frequency"),
-    "delinquency_score": lambda v: _say(
-        "Delinquency severity score of ", _rounded(v), " — above risk threshold"),
-    "active_loan_ratio": lambda v: _say(
-        _rounded(v * 100), "% of loans are currently active — heavily overextended"),
-    "Age_Oldest_TL": lambda v: F.when(v < 24, _say(
-        "Credit history of only ", _whole(v), " months — insufficient track record")).otherwise(_say(
-            "Established ", _whole(v), "-month credit history — positive stability signal")),
-    "NETMONTHLYINCOME": lambda v: F.when(v > 20000, _say(
-        "Monthly income of ", _rupees(v), " — adequate repayment capacity")).otherwise(_say(
-            "Monthly income of ", _rupees(v), " — limited repayment buffer")),
-    "Gold_TL": lambda v: _say(
-        "Has ", _whole(v), " gold loan(s) — may indicate collateral-backed stress borrowing"),
-    "enq_acceleration": lambda v: F.lit(
-        "Enquiry pace has increased recently — accelerating credit search"),
-}
-SAFE_SENTENCES: dict[str, Callable[[Column], Column]] = {
-    "Age_Oldest_TL": lambda v: _say(
-        _whole(v), "-month credit history — strong repayment track record"),
-    "NETMONTHLYINCOME": lambda v: _say(
-        "Monthly income of ", _rupees(v), " — good repayment capacity"),
-    "loan_type_diversity": lambda v: _say(
-        "Manages ", _whole(v), " loan type(s) — diversified credit experience"),
-    "Total_TL": lambda v: _say(
-        _whole(v), " total loan accounts — experienced borrower profile"),
-}
-# ---- fixed values: rules without attributions: feature, limit, weight, label, default ---------
-RISK_RULES = (("enq_L6m", 4, 0.9, "Recent enquiries", 0),
-              ("num_times_delinquent", 2, 0.65, "Missed payments", 0),
-              ("num_times_60p_dpd", 1, 0.45, "60+ DPD", 0))
-SAFE_RULES = (("Age_Oldest_TL", 48, -0.46, "Credit history", 120),
-              ("NETMONTHLYINCOME", 25000, -0.20, "Monthly income", 30000))
+def _written(value: Column, form: str) -> Column:
+    """A number as text in one of the forms the sentences name."""
+    number = value.cast("double")
+    if form == "whole":
+        return number.cast("long").cast("string")
+    if form in ("rounded", "percent"):
+        return F.bround(number * 100 if form == "percent" else number, 0).cast("long").cast("string")
+    if form == "rupees":
+        return F.concat(F.lit("₹"), F.format_number(number, 0))
+    raise ValueError(f"unknown form {form}")
+
+
+def sentence(text: str, value: Column) -> Column:
+    """Fill the forms in a fixed sentence with a column."""
+    parts = re.split(r"\{(\w+)\}", text)
+    pieces = [F.lit(p) if i % 2 == 0 else _written(value, p) for i, p in enumerate(parts) if p]
+    return F.concat(*pieces)
+
+
+def risk_sentence(feature: str, value: Column) -> Column:
+    usual = sentence(K.RISK_SENTENCES[feature], value)
+    if feature not in K.RISK_SENTENCE_EXCEPTIONS:
+        return usual
+    condition, text = K.RISK_SENTENCE_EXCEPTIONS[feature]
+    return F.when(_meets(value, condition), sentence(text, value)).otherwise(usual)
+
+
+def _meets(value: Column, condition: str) -> Column:
+    sign, limit = condition.split()
+    bound = F.lit(float(limit))
+    return {"<": value < bound, ">": value > bound, ">=": value >= bound}[sign]
 
 
 def risk_level(pd: Column) -> Column:
@@ -95,12 +69,13 @@ def pd_percent(pd: Column) -> Column:
     return F.bround(pd * 100, 1)
 
 
-def _sentence(feature: str, value: Column, label: str, risky: bool) -> Column:
-    known = (RISK_SENTENCES if risky else SAFE_SENTENCES).get(feature)
-    if known:
-        return known(value)
-    ending = " (increases risk)" if risky else " (reduces risk)"
-    return _say(f"{label}: ", value.cast("string"), ending)
+def _reason(feature: str, value: Column, label: str, risky: bool) -> Column:
+    if risky and feature in K.RISK_SENTENCES:
+        return risk_sentence(feature, value)
+    if not risky and feature in K.SAFE_SENTENCES:
+        return sentence(K.SAFE_SENTENCES[feature], value)
+    ending = K.OTHER_RISK_ENDING if risky else K.OTHER_SAFE_ENDING
+    return F.concat(F.lit(f"{label}: "), value.cast("string"), F.lit(ending))
 
 
 def _entry(feature: str, label: str, value: Column, weight: Column, risky: bool) -> Column:
@@ -108,7 +83,7 @@ def _entry(feature: str, label: str, value: Column, weight: Column, risky: bool)
         F.lit(feature).alias("feature"), F.lit(label).alias("label"),
         value.cast("double").alias("value"), F.round(weight, 3).alias("shap"),
         F.lit("risk" if risky else "safe").alias("direction"),
-        _sentence(feature, value, label, risky).alias("reason"))
+        _reason(feature, value, label, risky).alias("reason"))
 
 
 def _keep(candidates: Sequence[Column], limit: int) -> Column:
@@ -124,8 +99,8 @@ def rule_reasons(df: DataFrame, top_n: int = 5) -> DataFrame:
             entries.append(F.when(value >= limit, _entry(feature, label, value, F.lit(weight), risky)))
         return _keep(entries, top_n)
 
-    return df.withColumns({"risk_reasons": found(RISK_RULES, True),
-                           "protective_factors": found(SAFE_RULES, False)})
+    return df.withColumns({"risk_reasons": found(K.RISK_RULES, True),
+                           "protective_factors": found(K.SAFE_RULES, False)})
 
 
 def attribution_reasons(df: DataFrame, attributions: Mapping[str, str], top_n: int = 5) -> DataFrame:
@@ -156,12 +131,12 @@ def explain(df: DataFrame, attributions: Mapping[str, str] | None = None, top_n:
     reasoned = (attribution_reasons(df, attributions, top_n) if attributions
                 else rule_reasons(df, top_n))
     pd = F.col(PD)
+    lead, link = K.SUMMARY_SENTENCE
     first = F.coalesce(F.get(F.col("risk_reasons"), F.lit(0))["reason"], F.lit(K.NO_RISK_SIGNAL))
     return reasoned.withColumns({
         "predicted_pd_pct": pd_percent(pd), "risk_level": risk_level(pd),
         "recommendation": recommendation(pd),
-        "summary": _say("Predicted default probability: ", F.format_string("%.1f", pd_percent(pd)),
-                        "%. Primary concern: ", first)})
+        "summary": F.concat(F.lit(lead), F.format_string("%.1f", pd_percent(pd)), F.lit(link), first)})
 
 
 def batch_explain(df: DataFrame, key: str = "borrower_id") -> DataFrame:
@@ -177,19 +152,9 @@ def batch_explain(df: DataFrame, key: str = "borrower_id") -> DataFrame:
 
 def application_reasons(df: DataFrame, key: str = "borrower_id", limit: int = 5) -> DataFrame:
     """The scorer's list: up to five marked reasons and a short recommendation."""
-    enquiries, delays, severe = (F.col(c) for c in ("enq_L6m", "num_times_delinquent", "num_times_60p_dpd"))
-    missed, history, income = (F.col(c) for c in ("missed_payment_ratio", "Age_Oldest_TL", "NETMONTHLYINCOME"))
-    # ---- fixed values: marks and sentences of the scorer
-    candidates = (
-        (enquiries >= 4, "▲ RISK", _say("Applied to ", _whole(enquiries),
-                                        " lenders in 6 months — financial stress signal")),
-        (delays >= 2, "▲ RISK", _say(_whole(delays), " missed payments on record — non-repayment pattern")),
-        (severe >= 1, "▲ RISK", _say(_whole(severe), " serious 60+ DPD event(s) — recovery rate low")),
-        (missed > 0.2, "~ CAUTION", _say(_rounded(missed * 100), "% of payments missed — above threshold")),
-        (history >= 36, "▼ SAFE", _say(_whole(history), "-month credit history — positive stability signal")),
-        (income >= 25000, "▼ SAFE", _say(_rupees(income), "/month income — adequate repayment capacity")),
-    )
-    listed = _keep([F.when(met, _say(mark, ": ", text)) for met, mark, text in candidates], limit)
+    told = [F.when(_meets(F.col(c), condition), F.concat(F.lit(f"{mark}: "), sentence(text, F.col(c))))
+            for mark, c, condition, text in K.APPLICATION_RULES]
+    listed = _keep(told, limit)
     pd = F.col(PD)
     return df.select(key, pd_percent(pd).alias("predicted_pd_pct"), risk_level(pd).alias("risk_level"),
                      F.array_join(listed, "; ").alias("reasons"), F.size(listed).alias("reason_count"),

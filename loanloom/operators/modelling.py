@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
@@ -251,18 +251,24 @@ def logistic_model(matrix: DataFrame, features: Sequence[str] | None = None) ->
     ]).fit(matrix)
 
 
+def linear_attributions(df: DataFrame, card: Mapping[str, tuple[float, float]],
+                        prefix: str = "phi_") -> DataFrame:
+    """``phi = (x - mean) * beta`` for every feature of a card ``feature -> (beta, mean)``."""
+    return df.withColumns({f"{prefix}{c}": (F.col(c).cast("double") - F.lit(float(mean))) * F.lit(float(beta))
+                           for c, (beta, mean) in card.items()})
+
+
 def attributions(df: DataFrame, model: PipelineModel, prefix: str = "phi_") -> DataFrame:
     """Exact additive attribution in log-odds, one column per feature.
 
-    ``phi_i = beta_i * (x_i - mean_i)``; together with ``phi_base`` they add up to the margin.
+    Together with ``phi_base`` the columns add up to the margin.
     """
     names = input_features(model)
     scaler, learner = model.stages[1], model.stages[2]
     means, spreads = scaler.mean.toArray(), scaler.std.toArray()
     betas = learner.coefficients.toArray()
-    columns = {f"{prefix}{c}": (F.col(c).cast("double") - float(m)) * float(b / s if s else 0.0)
-               for c, m, s, b in zip(names, means, spreads, betas)}
-    return df.withColumns({**columns, f"{prefix}base": F.lit(float(learner.intercept))})
+    card = {c: (b / s if s else 0.0, m) for c, m, s, b in zip(names, means, spreads, betas)}
+    return linear_attributions(df, card, prefix).withColumn(f"{prefix}base", F.lit(float(learner.intercept)))
 
 
 def importance(attributed: DataFrame, features: Sequence[str], model: PipelineModel | None = None,

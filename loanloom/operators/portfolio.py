@@ -115,12 +115,17 @@ def riskiest_segments(df: DataFrame, n: int = 5) -> DataFrame:
     """Worst segments across the age and income dimensions, ranked."""
     dimensions = (("Age Group", "AGE", K.LEADERBOARD_AGE_BAND),
                   ("Income Band", "NETMONTHLYINCOME", K.LEADERBOARD_INCOME_BAND))
-    parts = [segment_default_rates(df, column, *band).select(
-        F.lit(name).alias("dimension"), "segment", "count", "default_rate_pct", "risk_contribution_pct")
-        for name, column, band in dimensions if column in df.columns]
-    board = parts[0]
-    for part in parts[1:]:
-        board = board.unionByName(part)
+    known = [(name, column, band) for name, column, band in dimensions if column in df.columns]
+    entries = unpivot_rows(df, ("dimension", "segment", K.TARGET), [
+        (F.lit(name), bands.cut(F.col(column), *band), F.col(K.TARGET)) for name, column, band in known])
+    grouped = entries.groupBy("dimension", "segment").agg(
+        F.count(K.TARGET).alias("count"),
+        F.coalesce(F.sum(F.col(K.TARGET).cast("long")), F.lit(0)).alias("defaults"))
+    everyone = grouped.where(F.col("dimension") == known[0][0]).agg(F.sum("defaults")).scalar()
+    board = grouped.where(F.col("segment").isNotNull()).select(
+        "dimension", "segment", "count",
+        percent(F.col("defaults"), F.col("count")).alias("default_rate_pct"),
+        percent(F.col("defaults"), everyone).alias("risk_contribution_pct"))
     order = [F.desc_nulls_last("default_rate_pct"), F.asc("dimension"), F.asc("segment")]
     top = board.orderBy(*order).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order)))

@@ -197,6 +197,13 @@ def signal_p_values(fact: DataFrame) -> DataFrame:
     return group_p_values(fact, numeric_columns(fact, K.SIGNAL_EXCLUDED), K.TARGET)
 
 
+def signals_with_p_values(fact: DataFrame, top: int = 20) -> DataFrame:
+    """The early-warning list with the p-value of each signal."""
+    strongest = early_warning_signals(fact, top)
+    tested = signal_p_values(fact).select("feature", "p_value", "significant")
+    return strongest.join(tested, "feature", "left").orderBy("rank")
+
+
 def ttest_gold_p_value(fact: DataFrame) -> DataFrame:
     flagged = fact.select(F.col("has_gold_loan").cast("int").alias("gold"), K.TARGET)
     return group_p_values(flagged, [K.TARGET], "gold")

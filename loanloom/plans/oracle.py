@@ -631,6 +631,11 @@ SAID = {"enq_L6m": "'Applied to ' || enq_L6m || ' lenders in the last 6 months 
         "loan_type_diversity": "'Loan portfolio diversity: ' || loan_type_diversity || ' (increases risk)'",
         "Total_TL": "'Total loan accounts: ' || Total_TL || ' (increases risk)'",
         "Gold_TL": "'Has ' || Gold_TL || ' gold loan(s) — may indicate collateral-backed stress borrowing'"}
+silver("card_attributions", "SELECT PROSPECTID, " + ", ".join(
+    f"{r(f'{beta} * ({c} - {m})')} AS phi_{c}" for c, (beta, m) in CARD.items()) + " FROM silver")
+silver("card_importance", f"""SELECT *, row_number() OVER (ORDER BY mean_abs_attribution DESC, feature)::INTEGER AS rank
+ FROM ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'avg(abs({beta} * ({c} - {m})))')} AS mean_abs_attribution FROM silver"
+    for c, (beta, m) in CARD.items())})""")
 LONG = " UNION ALL ".join(
     f"SELECT borrower_id, {i} AS place, '{c}' AS feature, ({c} - {m}::DOUBLE) * {beta}::DOUBLE AS phi, {SAID[c]} AS said FROM scored"
     for i, (c, (beta, m)) in enumerate(CARD.items()))

@@ -211,6 +211,7 @@ _over("gold_vs_non_gold", _fact, stats.gold_vs_non_gold)
 _over("ttest_gold", _fact, stats.ttest_gold)
 _over("early_warning_signals", _fact, stats.early_warning_signals)
 _over("signal_p_values", _fact, stats.signal_p_values)
+_over("signals_with_p_values", _fact, stats.signals_with_p_values)
 _over("ttest_gold_p_value", _fact, stats.ttest_gold_p_value)
 
 # ---- explanations --------------------------------------------------------------------------------------
@@ -230,14 +231,18 @@ CARD = {"enq_L6m": (0.30, 2.0), "num_times_delinquent": (0.25, 1.0), "num_times_
 
 @query("attribution_reasons")
 def _attribution_reasons(book):
-    df = _scored_by_id(book).withColumns(
-        {f"phi_{c}": (F.col(c) - mean) * beta for c, (beta, mean) in CARD.items()})
+    df = modelling.linear_attributions(_scored_by_id(book), CARD)
     told = explain.explain(df, {c: f"phi_{c}" for c in CARD}, top_n=2)
     return told.select("borrower_id", F.array_join(F.col("risk_reasons.feature"), ",").alias("risk_features"),
                        F.array_join(F.col("protective_factors.feature"), ",").alias("safe_features"),
                        F.array_join(F.col("risk_reasons.reason"), "; ").alias("risk_reasons"))
 
 
+query("card_attributions")(lambda book: modelling.linear_attributions(book.silver(), CARD).select(
+    K.KEY, *[f"phi_{c}" for c in CARD]))
+query("card_importance")(lambda book: modelling.importance(
+    modelling.linear_attributions(book.silver(), CARD), list(CARD)).drop("built_in_importance"))
+
 # ---- models: rows only, MLlib's numbers have no SQL equivalent ---------------------------------------------
 _over("gbt_metrics", _silver, lambda df: modelling.train_and_evaluate(df, TREES)[1])
 

@@ -68,7 +68,7 @@ def test_attribution_order_cutoff_and_sides(spark):
     ("enq_acceleration", 1.0, "Enquiry pace has increased recently — accelerating credit search")])
 def test_sentences(spark, feature, value, expected):
     df = spark.createDataFrame([(value,)], "v double")
-    assert df.select(explain.RISK_SENTENCES[feature](F.col("v"))).first()[0] == expected
+    assert df.select(explain.risk_sentence(feature, F.col("v"))).first()[0] == expected
 
 
 def test_application_reasons(spark):
