@@ -150,6 +150,16 @@ def pr_points(df: DataFrame, score: str = "predicted_pd", label: str = K.TARGET)
     return points.unionByName(close)
 
 
+def average_precision(df: DataFrame, score: str = "predicted_pd", label: str = K.TARGET) -> DataFrame:
+    """Area under the precision-recall curve as the mean precision over the positives."""
+    placed = running_totals(class_counts(df, score, label), "score", ["pos", "neg"], descending=True,
+                            limits=range_limits(df, score))
+    hits = F.col("pos_before") + F.col("pos")
+    at_score = ratio_or_null(hits, hits + F.col("neg_before") + F.col("neg"))
+    return placed.agg(F.sum("pos").alias("positives"),
+                      ratio_or_null(F.sum(F.col("pos") * at_score), F.sum("pos")).alias("average_precision"))
+
+
 def sweep_grid() -> list[float]:
     return [float(x) for x in np.arange(K.SWEEP_START, K.SWEEP_STOP, K.SWEEP_STEP)]
 

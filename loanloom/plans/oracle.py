@@ -43,7 +43,7 @@ def pct(n, d):
 # ---- source files and cleaning ------------------------------------------------------------
 raw("bank_file", f"SELECT {BANK}, {USED} FROM graded")
 raw("bureau_file", f"SELECT {BUREAU}, {INCOME} FROM graded")
-raw("borrower_pipeline", f"SELECT {BANK}, {USED}, Credit_Score, Approved_Flag FROM graded")
+raw("borrower_records", f"SELECT {BANK}, {USED}, Credit_Score, Approved_Flag FROM graded")
 raw("drop_metadata", f"SELECT {BANK}, {USED} FROM graded")
 raw("tagged_rows", """SELECT 'kaggle_cibil_external' AS _source, count(*) AS row_count,
  1::BIGINT AS ingest_times FROM graded""")
@@ -489,6 +489,8 @@ scored("roc_points_full", f"{CURVE} SELECT {ROC} {ORIGIN}")
 scored("roc_points", f"""{CURVE} SELECT {ROC} WHERE i = 1 OR pos2 IS NULL OR NOT (pos2 = pos AND neg2 = neg) {ORIGIN}""")
 scored("pr_points", f"""{CURVE} SELECT {r('t')} AS threshold, {r('tp / (tp + fp)')} AS precision,
  {r('tp / nullif(np, 0)')} AS recall FROM curve, tot UNION ALL SELECT NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE""")
+scored("average_precision", f"""{CURVE} SELECT max(np)::BIGINT AS positives,
+ {r('sum(pos * tp / (tp + fp)) / max(np)')} AS average_precision FROM curve, tot""")
 CONSERVATIVE = """(enq_L6m <= 3 AND Age_Oldest_TL >= 12 AND num_times_delinquent <= 2 AND num_times_60p_dpd <= 0
  AND NETMONTHLYINCOME >= 10000 AND predicted_pd <= 0.45::DOUBLE AND active_loan_ratio <= 1)"""
 RECOMMENDED = """(enq_L6m <= 4 AND Age_Oldest_TL >= 24 AND num_times_delinquent <= 5 AND num_times_60p_dpd <= 999

@@ -67,7 +67,7 @@ def _scored_by_id(book):
 # ---- source files and cleaning -----------------------------------------------------------
 query("bank_file")(lambda book: book.bank())
 query("bureau_file")(lambda book: book.bureau())
-query("borrower_pipeline")(lambda book: book.records().select(*book.bank().columns,
+query("borrower_records")(lambda book: book.records().select(*book.bank().columns,
                                                                "Credit_Score", "Approved_Flag"))
 query("drop_metadata")(lambda book: ingest.with_metadata(book.bank(), "bank")
                        .transform(silver.drop_metadata))
@@ -184,6 +184,7 @@ _over("auc_exact", _scored, scoring.auc)
 _over("roc_points", _scored, scoring.roc_points)
 _over("roc_points_full", _scored, lambda df: scoring.roc_points(df, drop_collinear=False))
 _over("pr_points", _scored, scoring.pr_points)
+_over("average_precision", _scored, scoring.average_precision)
 _over("single_feature_auc", _scored, lambda df: scoring.single_feature_auc(df, [*K.FEATURES, K.SCORE_FEATURE]))
 _over("leakage_gate", _scored, lambda df: quality.leakage_gate(
     scoring.single_feature_auc(df, [*K.FEATURES, K.SCORE_FEATURE])))

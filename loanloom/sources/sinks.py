@@ -27,6 +27,11 @@ def write_silver(silver: DataFrame, path: str) -> None:
     write_parquet(named_for_sink(silver), path)
 
 
+def read_silver(spark: SparkSession, path: str) -> DataFrame:
+    """A stored silver table under the names the operators use."""
+    return spark.read.parquet(path).withColumnRenamed("risk_band", "grade_band")
+
+
 def write_export(export: DataFrame, path: str) -> None:
     write_csv(named_for_sink(export), path)
 

@@ -43,10 +43,10 @@ def test_filters_reach_the_scan(book):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_borrower_pipeline_shape(spark, folder):
+def test_borrower_records_shape(spark, folder):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = plan_of(QUERIES["borrower_pipeline"](spark, folder))
+        plan = plan_of(QUERIES["borrower_records"](spark, folder))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan

@@ -58,6 +58,16 @@ def test_roc_curve_points(spark):
     assert area(kept) == pytest.approx(area(full)) == pytest.approx(brute_auc(rows))
 
 
+def test_average_precision(spark):
+    rows = tied_rows()
+    n_pos, total, previous = sum(y for _, y in rows), 0.0, 0.0
+    for t in sorted({s for s, _ in rows}, reverse=True):
+        above = [y for s, y in rows if s >= t]
+        total += (sum(above) / n_pos - previous) * sum(above) / len(above)
+        previous = sum(above) / n_pos
+    assert scoring.average_precision(scores(spark, rows)).first()["average_precision"] == pytest.approx(total)
+
+
 def test_collinear_points_go(spark):
     # equal steps in the middle: the curve is one straight line after the first point
     rows = [(0.9, 1), (0.8, 1), (0.7, 1), (0.6, 0), (0.5, 0)]

@@ -37,7 +37,7 @@ def skewed(folder, tmp_path_factory):
     return str(target)
 
 
-@pytest.mark.parametrize("name", ["borrower_pipeline", "silver_features", "portfolio_ranks", "auc_exact", "roc_points",
+@pytest.mark.parametrize("name", ["borrower_records", "silver_features", "portfolio_ranks", "auc_exact", "roc_points",
                                   "gini_income", "describe_income_by_grade", "portfolio_summary", "key_reconciliation",
                                   "enquiry_lift", "single_feature_auc", "policy_simulation"])
 def test_matches_sql_under_skew(spark, skewed, name):

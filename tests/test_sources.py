@@ -147,3 +147,29 @@ def test_settings_follow_the_data():
     assert settings(0, 4)["spark.sql.shuffle.partitions"] == "8"
     assert int(settings(100 * 2**40, 8000)["spark.sql.shuffle.partitions"]) == 100_000
     assert settings(10 * 2**30, 4)["spark.sql.shuffle.partitions"] == "41"
+
+
+def test_both_batch_jobs(spark, book, tmp_path):
+    from loanloom.plans.layers import build_layers, score_and_export
+    raw = tmp_path / "raw"
+    sinks.write_csv(book.bank(), str(raw / "bank.csv"))
+    sinks.write_parquet(book.bureau(), str(raw / "bureau.parquet"))
+    sinks.write_csv(spark.createDataFrame([(1, 100.0, 1.0, 10.0, 0.0, 30.0)], schemas.LOAN_APPLICATIONS), str(raw / "loans.csv"))
+    sinks.write_csv(spark.createDataFrame([("a", "b")], schemas.DATA_DICTIONARY), str(raw / "words.csv"))
+    done = build_layers(spark, {
+        "internal_bank": str(raw / "bank.csv"), "cibil_external": str(raw / "bureau.parquet"),
+        "loan_applications": str(raw / "loans.csv"), "data_dictionary": str(raw / "words.csv")}, str(tmp_path / "lake"))
+    assert done["key_check"].first()["verdict"] == "perfect"
+    assert done["checks"].where("not passed").count() == 0
+    names = sorted(done["silver"].columns)
+    assert names == sorted(book.silver().columns)
+    assert sorted(map(str, done["silver"].select(names).collect())) == sorted(map(str, book.silver().select(names).collect()))
+    assert len(list((tmp_path / "lake" / "gold").iterdir())) == 9
+    assert len(list((tmp_path / "lake" / "reports").iterdir())) == 10
+
+    model = modelling.logistic_model(modelling.feature_matrix(done["silver"]))
+    model.write().overwrite().save(str(tmp_path / "model"))
+    summary = score_and_export(spark, str(tmp_path / "lake" / "silver" / "silver_master.parquet"),
+                               [str(tmp_path / "newer"), str(tmp_path / "model")], str(tmp_path / "scored"))
+    assert summary.first()["total_rows"] == book.silver().count()
+    assert spark.read.parquet(str(tmp_path / "scored" / "explanations")).count() == book.silver().count()
