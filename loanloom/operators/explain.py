@@ -17,9 +17,9 @@ def _written(value: Column, form: str) -> Column:
     """A number as text in one of the forms the sentences name."""
     number = value.cast("double")
     if form == "whole":
-        return number.cast("long").cast("string")
+        return number.try_cast("long").cast("string")
     if form in ("rounded", "percent"):
-        return F.bround(number * 100 if form == "percent" else number, 0).cast("long").cast("string")
+        return F.bround(number * 100 if form == "percent" else number, 0).try_cast("long").cast("string")
     if form == "rupees":
         return F.concat(F.lit("₹"), F.format_number(number, 0))
     raise ValueError(f"unknown form {form}")
@@ -111,7 +111,8 @@ def attribution_reasons(df: DataFrame, attributions: Mapping[str, str], top_n: i
     """
     entries = []
     for place, (feature, column) in enumerate(attributions.items()):
-        size, label = F.col(column), K.FEATURE_LABELS.get(feature, feature)
+        size = F.coalesce(F.nanvl(F.col(column), F.lit(0.0)), F.lit(0.0))
+        label = K.FEATURE_LABELS.get(feature, feature)
         value = F.col(feature)
         risky = F.when(size > K.ATTRIBUTION_CUTOFF, _entry(feature, label, value, size, True))
         safe = F.when(size < -K.ATTRIBUTION_CUTOFF, _entry(feature, label, value, size, False))

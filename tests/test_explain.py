@@ -77,3 +77,14 @@ def test_application_reasons(spark):
     assert out[0]["reason_count"] == 5 and "~ CAUTION: 30% of payments missed" in out[0]["reasons"]
     assert "₹" not in out[0]["reasons"]  # the sixth is cut
     assert (out[1]["reasons"], out[1]["recommendation"]) == ("", "Approve under standard terms.")
+
+
+def test_odd_values_do_not_break_sentences(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 0.5, nan, 1.0, None, 0.9), (2, 0.5, 3.0, 1.0, nan, -0.9)],
+                               "borrower_id long, predicted_pd double, enq_L6m double, AGE double, p1 double, p2 double")
+    out = explain.attribution_reasons(df, {"enq_L6m": "p1", "AGE": "p2"}, top_n=1).orderBy("borrower_id").collect()
+    assert [len(r["risk_reasons"]) for r in out] == [1, 0]
+    assert out[1]["protective_factors"][0]["feature"] == "AGE"
+    assert explain.rule_reasons(df.select("enq_L6m"), 1).count() == 2
+    explain.rule_reasons(df.select("enq_L6m"), 1).collect()
