@@ -7,11 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loanloom.operators import gold, scoring, silver
 from loanloom.sources import borrowers
 
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 _local_folder: dict[str, str] = {}
 
 
@@ -85,6 +86,8 @@ class LoanBook:
             if folder is None:
                 return build()
             path = f"{folder.rstrip('/')}/loanloom/{slot[0]}/{layer}-{uuid.uuid4().hex}"
-            build().write.parquet(path)
-            _written[slot] = path
-        return spark.read.parquet(_written[slot])
+            layer_rows = build()
+            layer_rows.write.parquet(path)
+            _written[slot] = (path, layer_rows.schema)
+        path, schema = _written[slot]
+        return spark.read.schema(schema).parquet(path)
