@@ -146,8 +146,9 @@ def profiles(rows: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndar
     return {lang: v / np.linalg.norm(v) for lang, v in sorted(found.items()) if v.any()}
 
 
-def predict(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """All columns of ``docs`` but ``text``, with ``lang_pred`` and ``score`` (cosine, at least 0)."""
+def predict(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", pred: str = "lang_pred",
+            score: str = "score") -> DataFrame:
+    """All columns of ``docs`` but ``text``, with the language and its score (cosine, at least 0)."""
     names = [*learned]
     matrix = np.stack([learned[n] for n in names]) if names else np.zeros((0, 1))
 
@@ -165,11 +166,11 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text")
                     langs[i], scores[i] = names[best], min(max(row[best], 0.0), 1.0)
             rest = batch.drop_columns([text])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             [*rest.schema.names, "lang_pred", "score"])
+                                             [*rest.schema.names, pred, score])
 
     ship(docs.sparkSession)
     schema = StructType([f for f in docs.schema.fields if f.name != text])
-    return docs.mapInArrow(answer, schema.add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(answer, schema.add(pred, "string").add(score, "double"))
 
 
 def held_out(doc_id: Column) -> Column:
