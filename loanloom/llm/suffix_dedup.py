@@ -12,9 +12,10 @@ batches merge, as in a binary counter, so a key is written a logarithmic number
 holds per key whether it occurred more than once and whether its regions differ.
 
 A key that occurs more than once with one and the same region is a match of the whole region. Where
-regions differ (at the ends of a common passage), one region of each kind is spelled out into its
-strings, and those found more than once match. Keys and regions, or keys and strings, are compared
-by 128 bits together. Nothing depends on the size of a group of copies: groups are counted, never
+regions differ (at the ends of a common passage), one region of each kind is spelled out into blocks
+of ``BLOCK`` strings. Again a block that occurs more than once matches as a whole, and only blocks
+that have something in common but differ are spelled out into single strings, one block of each
+kind. All comparisons are of 128 bits, key and content together. Nothing depends on the size of a group of copies: groups are counted, never
 paired.
 
 Defined results: strings are judged on the input; matches never cross documents, but a document
@@ -25,8 +26,8 @@ columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from loanloom.llm.common import forget, kept, release, ship
 
 LENGTH = 200
-GRAM = 48
+GRAM = 64
+BLOCK = 16
 BATCHES = 4
 SEED = 7
 # strings of one document handled at once; their places fit in PLACE bits
@@ -79,8 +81,8 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n - width + 1], forward[width - 1:n])
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys of the anchors of a text, with the first and last start of the strings of each."""
+def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """Keys and places of the anchors of a text, with the first and last start of the strings of each."""
     data = np.frombuffer(text, dtype=np.uint8)
     low = np.uint64((1 << PLACE) - 1)
     for begin in range(0, len(data) - length + 1, STRINGS_AT_ONCE):
@@ -89,10 +91,10 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tup
         anchor = (least & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(anchor) - 1]])
-        yield h[anchor[first]].view(np.int64), first + begin, last + begin
+        yield h[anchor[first]].view(np.int64), anchor[first] + begin, first + begin, last + begin
 
 
-_SUFFIX = pa.struct([("key", pa.int64()), ("region", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+_SUFFIX = pa.struct([("key", pa.int64()), ("region", pa.int64()), ("at", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
 
 def prepared(docs: DataFrame, batches: int) -> DataFrame:
@@ -106,17 +108,18 @@ def prepared(docs: DataFrame, batches: int) -> DataFrame:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
-                keys, firsts, lasts, regions, ends = [], [], [], [], [0]
+                keys, places, firsts, lasts, regions, ends = [], [], [], [], [], [0]
                 for text in texts:
-                    for key, first, last in anchors(text):
+                    for key, at, first, last in anchors(text):
                         keys.append(key)
+                        places.append(at)
                         firsts.append(first)
                         lasts.append(last)
                         regions += [xxhash.xxh64_intdigest(text[a:b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                     ends.append(len(regions))
-                flat = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (keys, firsts, lasts)]
+                flat = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (keys, places, firsts, lasts)]
                 structs = pa.StructArray.from_arrays(
-                    [pa.array(flat[0]), pa.array(np.array(regions, dtype=np.uint64).view(np.int64)), pa.array(flat[1]), pa.array(flat[2])],
+                    [pa.array(flat[0]), pa.array(np.array(regions, dtype=np.uint64).view(np.int64)), *map(pa.array, flat[1:])],
                     fields=list(_SUFFIX))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
@@ -126,7 +129,7 @@ def prepared(docs: DataFrame, batches: int) -> DataFrame:
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(
-        prepare, f"doc_id {kind}, n_bytes long, packed binary, suffixes array<struct<key:bigint,region:bigint,first:bigint,last:bigint>>")
+        prepare, f"doc_id {kind}, n_bytes long, packed binary, suffixes array<struct<key:bigint,region:bigint,at:bigint,first:bigint,last:bigint>>")
     row = F.monotonically_increasing_id()
     return kept(rows.withColumn("row", row).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")), "suffix-rows", by="batch")
 
@@ -136,9 +139,10 @@ def suffixes(rows: DataFrame) -> DataFrame:
 
 
 class SuffixLevels:
-    """Suffix arrays of the batches so far: level i covers 2^i batches.
+    """Suffix arrays of the batches so far; a level covers 1, 2, 4, ... batches.
 
-    ``add`` returns nothing; ``repeated`` has every key that occurred more than once.
+    ``repeated`` has every key that occurred more than once. Merging a level tells which keys it
+    shares with the new batch, as scanning does, so levels that merge are not scanned as well.
     """
 
     def __init__(self):
@@ -146,30 +150,35 @@ class SuffixLevels:
         self.found: list[DataFrame] = []
 
     def add(self, batch: DataFrame) -> None:
-        """Take in ``batch(key, region)``: sort it, scan the levels for its keys, merge equal levels."""
+        """Take in ``batch(key, region)``: sort it, scan the levels that stay, merge those it completes."""
         size, array = 1, _array(batch.select("key", "region", F.lit(False).alias("many"), F.lit(False).alias("mixed")))
-        found = [array.where("many").select("key", "mixed")]
+        merging = []
+        while self.levels and self.levels[-1][0] == size:
+            merging.append(self.levels.pop()[1])
+            size *= 2
         for _, level in self.levels:
             theirs = level.select(F.col("key").alias("_key"), F.col("region").alias("_region"), F.col("mixed").alias("_mixed"))
-            found.append(array.join(theirs, F.col("key") == F.col("_key")).select(
-                "key", (F.col("mixed") | F.col("_mixed") | (F.col("region") != F.col("_region"))).alias("mixed")))
-        for part in found:
-            self.found.append(kept(part, "suffix-found"))
-        while self.levels and self.levels[-1][0] == size:
-            _, level = self.levels.pop()
-            merged = _array(level.unionByName(array))
-            forget(level)
-            forget(array)
-            size, array = 2 * size, merged
+            shared = array.join(theirs, F.col("key") == F.col("_key"))
+            self.found.append(kept(shared.select(
+                "key", (F.col("mixed") | F.col("_mixed") | (F.col("region") != F.col("_region"))).alias("mixed")), "suffix-found"))
+        if merging:
+            merged = _array(reduce(DataFrame.unionByName, [array, *merging]))
+            for old in [array, *merging]:
+                forget(old)
+            array = merged
         self.levels.append((size, array))
         release(array.sparkSession)
 
     def repeated(self) -> DataFrame:
         """``key, mixed``: keys that occurred more than once, and whether their regions differ."""
-        found = self.found[0]
-        for more in self.found[1:]:
-            found = found.unionByName(more)
-        return kept(found.groupBy("key").agg(F.max("mixed").alias("mixed")), "suffix-repeated")
+        inside = [level.where("many").select("key", "mixed") for _, level in self.levels]
+        return kept(reduce(DataFrame.unionByName, [*inside, *self.found]).groupBy("key").agg(F.max("mixed").alias("mixed")), "suffix-repeated")
+
+    def close(self) -> None:
+        """Delete the arrays."""
+        for df in [*(level for _, level in self.levels), *self.found]:
+            forget(df)
+        self.levels, self.found = [], []
 
 
 def _array(entries: DataFrame) -> DataFrame:
@@ -180,27 +189,71 @@ def _array(entries: DataFrame) -> DataFrame:
                              (F.col("mixed") | (F.col("region") != F.col("_other"))).alias("mixed")).sortWithinPartitions("key"), "suffix-level")
 
 
-def _spelled_out(regions: DataFrame, rows: DataFrame) -> DataFrame:
-    """``key, row, start, string``: all strings of the given regions, hashed."""
+def _blocks(text: bytes, r: dict) -> Iterator[tuple[int, int, int, int]]:
+    """First and last string of each block of a region; hashes of what they share and of all they cover.
+
+    Blocks are counted from the anchor, so two regions that share a string share its block.
+    """
+    import xxhash
+
+    for j in range((r["at"] - r["last"]) // BLOCK, (r["at"] - r["first"]) // BLOCK + 1):
+        common = r["at"] - j * BLOCK
+        first, last = max(r["first"], common - BLOCK + 1), min(r["last"], common)
+        yield (first, last, xxhash.xxh64_intdigest(text[common:common + LENGTH - BLOCK + 1], j),
+               xxhash.xxh64_intdigest(text[first:last + LENGTH], last - common + BLOCK))
+
+
+def _strings(text: bytes, r: dict) -> Iterator[tuple[int, int, int, int]]:
+    import xxhash
+
+    for a in range(r["first"], r["last"] + 1):
+        content = xxhash.xxh64_intdigest(text[a:a + LENGTH])
+        yield a, a, content, content
+
+
+def _spelled_out(regions: DataFrame, rows: DataFrame, parts: Callable) -> DataFrame:
+    """Written: ``key, row, at, first, last, shared, whole`` for all parts of the given regions."""
     def spell(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         import zstandard
 
         grow = zstandard.ZstdDecompressor().decompress
         for batch in found:
             for i in range(batch.num_rows):
-                text = grow(batch.column("packed")[i].as_py())
-                row = batch.column("row")[i].as_py()
-                for r in batch.column("regions")[i].as_py():
-                    starts = range(r["first"], r["last"] + 1)
-                    hashes = np.fromiter((xxhash.xxh64_intdigest(text[a:a + LENGTH]) for a in starts), dtype=np.uint64, count=len(starts))
-                    yield pa.RecordBatch.from_pydict({
-                        "key": np.full(len(starts), r["key"]), "row": np.full(len(starts), row),
-                        "start": np.arange(r["first"], r["last"] + 1), "string": hashes.view(np.int64)})
+                text, wanted = grow(batch.column("packed")[i].as_py()), batch.column("regions")[i].as_py()
+                out = [(r["key"], r["at"], *part) for r in wanted for part in parts(text, r)]
+                key, at, first, last, shared, whole = (
+                    np.array(x, dtype=t) for x, t in zip(zip(*out, strict=True), "qqqqQQ", strict=True))
+                yield pa.RecordBatch.from_pydict({
+                    "key": key, "row": np.full(len(out), batch.column("row")[i].as_py()), "at": at, "first": first, "last": last,
+                    "shared": shared.view(np.int64), "whole": whole.view(np.int64)})
 
-    wanted = regions.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("key", "first", "last")).alias("regions"))
-    return (rows.select("row", "packed").join(wanted, F.col("row") == F.col("_row")).select("row", "packed", "regions")
-            .mapInArrow(spell, "key long, row long, start long, string long"))
+    wanted = regions.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("key", "at", "first", "last")).alias("regions"))
+    units = kept(rows.select("row", "packed").join(wanted, F.col("row") == F.col("_row")).select("row", "packed", "regions")
+                 .mapInArrow(spell, "key long, row long, at long, first long, last long, shared long, whole long"), "suffix-parts")
+    release(rows.sparkSession)
+    return units
+
+
+def _settled(units: DataFrame, more: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Of ``units(key, row, at, first, last, shared, whole)``, those whose whole occurs more than once.
+
+    With ``more``, also one unit of each kind where units share something but differ.
+    """
+    kinds = kept(units.groupBy(F.col("key").alias("_key"), F.col("shared").alias("_shared"), F.col("whole").alias("_whole")).agg(
+        F.count("*").alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("one")), "suffix-kinds")
+    again = units.join(kinds.where("n > 1").select("_key", "_shared", "_whole"),
+                       (F.col("key") == F.col("_key")) & (F.col("shared") == F.col("_shared")) & (F.col("whole") == F.col("_whole")), "left_semi")
+    spans = kept(again.select("row", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")), "suffix-spans")
+    differing = None
+    if more:
+        several = kept(kinds.groupBy(F.col("_key").alias("key"), F.col("_shared").alias("shared")).agg(
+            F.min("_whole").alias("a"), F.max("_whole").alias("b")).where("a <> b").select("key", "shared"), "suffix-several")
+        differing = kept(kinds.join(several, (F.col("key") == F.col("_key")) & (F.col("shared") == F.col("_shared")), "left_semi")
+                         .select(F.col("_key").alias("key"), "one.*"), "suffix-differing")
+        forget(several)
+    forget(kinds)
+    release(units.sparkSession)
+    return spans, differing
 
 
 def repeated_spans(rows: DataFrame, batches: int) -> DataFrame:
@@ -209,21 +262,17 @@ def repeated_spans(rows: DataFrame, batches: int) -> DataFrame:
     for i in range(batches):
         levels.add(suffixes(rows.where(F.col("batch") == i)))
     repeated = levels.repeated().withColumnRenamed("key", "_key")
+    levels.close()
     met = kept(suffixes(rows).join(repeated, F.col("key") == F.col("_key")).drop("_key"), "suffix-met")
     release(rows.sparkSession)
-    whole = met.where("NOT mixed")
-    mixed = met.where("mixed")
-    kinds = kept(mixed.groupBy(F.col("key").alias("_key"), F.col("region").alias("_region")).agg(
-        F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("one")), "suffix-kinds")
-    copies = mixed.join(kinds.where("n > 1"), (F.col("key") == F.col("_key")) & (F.col("region") == F.col("_region")))
-    strings = kept(_spelled_out(kinds.select(F.col("_key").alias("key"), "one.*"), rows), "suffix-strings")
-    again = kept(strings.groupBy(F.col("key").alias("_key"), F.col("string").alias("_string")).agg(F.count("*").alias("n"))
-                 .where("n > 1").drop("n"), "suffix-again")
-    edges = strings.join(again, (F.col("key") == F.col("_key")) & (F.col("string") == F.col("_string")), "left_semi")
-    stop = (F.col("last") + LENGTH).alias("stop")
-    return (whole.select("row", F.col("first").alias("start"), stop)
-            .unionByName(copies.select("row", F.col("first").alias("start"), stop))
-            .unionByName(edges.select("row", "start", (F.col("start") + LENGTH).alias("stop"))))
+    spans, regions = _settled(met.where("mixed").withColumn("shared", F.lit(0).cast("long")).withColumnRenamed("region", "whole"), more=True)
+    found = [met.where("NOT mixed").select("row", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")), spans]
+    for parts in (_blocks, _strings):
+        units = _spelled_out(regions, rows, parts)
+        spans, regions = _settled(units, more=parts is _blocks)
+        forget(units)
+        found.append(spans)
+    return reduce(DataFrame.unionByName, found)
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
