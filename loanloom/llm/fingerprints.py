@@ -83,8 +83,12 @@ def with_successor(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     last one. The table of ranges has one row per range, fixed by the number of shuffle partitions.
     """
     limits = range_limits(docs, "doc_id")
-    rows = Bucketizer(splits=[-math.inf, *limits, math.inf], inputCol="_id", outputCol="_range", handleInvalid="keep").transform(
-        docs.withColumn("_id", F.col("doc_id").cast("double"))).drop("_id")
+    rows = docs.withColumn("_id", F.col("doc_id").cast("double"))
+    if limits:
+        rows = Bucketizer(splits=[-math.inf, *limits, math.inf], inputCol="_id", outputCol="_range", handleInvalid="keep").transform(rows)
+    else:
+        rows = rows.withColumn("_range", F.when(F.col("_id").isNotNull(), F.lit(0.0)))
+    rows = rows.withColumn("_range", F.coalesce("_range", F.lit(len(limits) + 2.0))).drop("_id")
     by_range = Window.orderBy("_range")
     firsts = rows.groupBy("_range").agg(F.min("doc_id").alias("_first")).withColumn(
         "_before", F.coalesce(F.lag("_range").over(by_range), F.max("_range").over(Window.partitionBy())))

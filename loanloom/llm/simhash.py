@@ -13,10 +13,12 @@ meet are within two bits of each other, and each is linked to the smallest there
 exact, and neither forms the pairs of a large group.
 
 ``near_duplicates`` finds documents of a Jaccard similarity of ``SIMILARITY`` over five-word
-shingles. That is up to about a fifth of the fingerprint's bits, too many for selective keys, so a
-key joins a Golay index of a segment to one of the smallest shingle hashes. All documents of a
-bucket are compared with its smallest member only, over ``KEPT_HASHES`` bottom hashes (exact
-for documents with no more shingles). This search is approximate; tests measure its recall.
+shingles. That is up to about a fifth of the fingerprint's bits, too many for selective keys. So
+shingle hashes are mixed in several ways (``MIXERS``), each of which gives a fingerprint and a
+smallest hash of its own, and a key joins a Golay index of a segment to the smallest hash. All
+documents of a bucket are compared with its smallest member only, by their bottom
+``KEPT_HASHES`` hashes (exact for documents with no more shingles). This search is approximate;
+tests measure its recall.
 
 Defined results: text without words (or NULL) has fingerprint zero and an empty shingle set, equal
 to each other; texts with fewer words than a shingle are one shingle; repeated rows are documents
@@ -45,8 +47,10 @@ MAX_BITS = 2
 PAIRED_BUCKET = 32
 SIMILARITY = 0.8
 KEPT_HASHES = 256
-# odd multipliers that reorder shingle hashes
-ORDERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+# standard error of a similarity of 0.8 from that many hashes; larger documents get the benefit of it
+SLACK = 0.025
+# odd multipliers
+MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -145,42 +149,48 @@ def fingerprint_text(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def mixed(hashes: np.ndarray, mixer: int) -> np.ndarray:
+    """The same hashes as other ones, independent bit by bit."""
+    out = (hashes ^ hashes >> np.uint64(33)) * np.uint64(mixer)
+    return out ^ out >> np.uint64(29)
+
+
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """All columns but ``text``, with fingerprint, three minima and the bottom shingle hashes."""
+    """All columns but ``text``, with a fingerprint and a smallest hash per mixer, and the bottom hashes."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, minima, bottoms = [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(text, shingle)
-                distinct = np.unique(hashes)
-                prints.append(majority(hashes))
-                minima.append([int((distinct * np.uint64(m)).min().view(np.int64)) for m in ORDERS] if len(distinct) else [])
-                bottoms.append(np.unique((distinct >> np.uint64(32)).astype(np.uint32).view(np.int32))[:KEPT_HASHES])
+                ways = [mixed(hashes, m) for m in MIXERS] if len(hashes) else []
+                prints.append([majority(h) for h in ways])
+                minima.append([int(h.min().view(np.int64)) for h in ways])
+                bottoms.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))[:KEPT_HASHES])
             rest = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(prints, pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array(bottoms, pa.list_(pa.int32()))],
-                [*rest.schema.names, "fp", "minima", "bottom"])
+                [*rest.columns, *(pa.array(x, pa.list_(pa.int64())) for x in (prints, minima)), pa.array(bottoms, pa.list_(pa.int32()))],
+                [*rest.schema.names, "prints", "minima", "bottom"])
 
     ship(docs.sparkSession)
     schema = docs.drop("text").schema
-    return docs.mapInArrow(add, schema.add("fp", "long").add("minima", ArrayType(LongType())).add("bottom", ArrayType(IntegerType())))
+    longs = ArrayType(LongType())
+    return docs.mapInArrow(add, schema.add("prints", longs).add("minima", longs).add("bottom", ArrayType(IntegerType())))
 
 
 def _similarity_keys(nodes: DataFrame) -> DataFrame:
-    """``key, node``: each minimum with each Golay index of each segment; of empty texts, none."""
+    """``key, node``: per mixer the smallest hash with each Golay index of each segment; none for empty texts."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp = batch.column("node").to_numpy(), batch.column("fp").to_numpy()
-            minima = np.array(batch.column("minima").to_pylist(), dtype=np.int64).reshape(len(node), -1)
-            for i in range(len(SEGMENTS)):
-                place, index = neighbour_keys(_segment(fp, i).astype(np.int64))
-                for j in range(minima.shape[1]):
-                    with np.errstate(over="ignore"):
-                        key = (minima[place, j] ^ (index << 4 | i << 2 | j)) * np.int64(0x5851F42D4C957F2D)
-                    yield pa.RecordBatch.from_pydict({"key": key, "node": node[place]})
+            node = batch.column("node").to_numpy()
+            prints, minima = (np.array(batch.column(c).to_pylist(), dtype=np.int64).reshape(-1, len(MIXERS)) for c in ("prints", "minima"))
+            for j in range(len(MIXERS)):
+                for i in range(len(SEGMENTS)):
+                    place, index = neighbour_keys(_segment(prints[:, j], i).astype(np.int64))
+                    key = mixed((minima[place, j] ^ (index << 8 | i << 4 | j)).view(np.uint64), MIXERS[0])
+                    yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "node": node[place]})
 
     ship(nodes.sparkSession)
-    return nodes.where(F.size("minima") > 0).select("node", "fp", "minima").mapInArrow(keys, "key long, node long")
+    return nodes.where(F.size("minima") > 0).select("node", "prints", "minima").mapInArrow(keys, "key long, node long")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -193,18 +203,18 @@ def jaccard(a: Column, b: Column) -> Column:
 def near_duplicates(rows: DataFrame, row: str, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``row, doc_id, group`` of every row; rows of near-duplicate documents share the group."""
     sketches = kept(_sketches(rows.select("doc_id", F.col(row).alias("row"), "text"), shingle)
-                    .withColumn("node", F.xxhash64("fp", "bottom")), "near-sketches")
-    nodes = kept(sketches.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "minima", "bottom")]), "near-nodes")
+                    .withColumn("node", F.xxhash64("prints", "bottom")), "near-sketches")
+    nodes = kept(sketches.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prints", "minima", "bottom")]), "near-nodes")
     keys = kept(_similarity_keys(nodes), "near-keys")
     centres = kept(keys.groupBy(F.col("key").alias("_key")).agg(F.min("node").alias("a"), F.count("*").alias("n"))
                    .where("n > 1").select("_key", "a"), "near-centres")
     pairs = keys.join(centres, F.col("key") == F.col("_key")).select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    side = nodes.select("node", "fp", "bottom")
-    left = side.select(F.col("node").alias("_a"), F.col("fp").alias("fp_a"), F.col("bottom").alias("bottom_a"))
-    right = side.select(F.col("node").alias("_b"), F.col("fp").alias("fp_b"), F.col("bottom").alias("bottom_b"))
+    left = nodes.select(F.col("node").alias("_a"), F.col("bottom").alias("bottom_a"))
+    right = nodes.select(F.col("node").alias("_b"), F.col("bottom").alias("bottom_b"))
+    partial = F.greatest(F.size("bottom_a"), F.size("bottom_b")) >= KEPT_HASHES
+    least = F.when(partial, F.lit(similarity - SLACK)).otherwise(F.lit(similarity))
     alike = (pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-             .where(differing(F.col("fp_a"), F.col("fp_b")) <= F.lit(int(64 * (1 - similarity))))
-             .where(jaccard(F.col("bottom_a"), F.col("bottom_b")) >= similarity).select("a", "b"))
+             .where(jaccard(F.col("bottom_a"), F.col("bottom_b")) >= least).select("a", "b"))
     roots = kept(components(alike).withColumnRenamed("node", "_node"), "near-roots")
     return (sketches.select("doc_id", "row", "node").join(roots, F.col("node") == F.col("_node"), "left")
             .select("row", "doc_id", F.coalesce("root", "node").alias("group")))
