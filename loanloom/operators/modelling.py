@@ -129,7 +129,7 @@ def cross_validate(train: DataFrame, trees: int = 300, folds: int = FOLDS) -> di
     prepared = weighted(train, natural_weight(train)).withColumn("_fold", _draw(SEED + 1, folds).cast("int"))
     validator = CrossValidator(
         estimator=boosted_trees(model_inputs(train), trees), estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=BinaryClassificationEvaluator(labelCol=K.TARGET), numFolds=folds, foldCol="_fold")
+        evaluator=BinaryClassificationEvaluator(labelCol=K.TARGET, numBins=0), numFolds=folds, foldCol="_fold")
     model = validator.fit(prepared)
     return {"cv_auc_mean": model.avgMetrics[0], "cv_auc_std": model.stdMetrics[0]}
 

@@ -86,7 +86,9 @@ def _actual(df: DataFrame) -> Column:
 
 def _with_loss(df: DataFrame) -> DataFrame:
     if "NETMONTHLYINCOME" in df.columns:
-        return with_income(df).withColumn("_loss", expected_loss())
+        # the median stands in for a missing income in the exposure only; rules see the gap
+        filled = with_income(df.withColumn("_stated_income", F.col("NETMONTHLYINCOME"))).withColumn("_loss", expected_loss())
+        return filled.withColumn("NETMONTHLYINCOME", F.col("_stated_income")).drop("_stated_income")
     return df.withColumn("_loss", F.col(PD) * F.lit(K.LGD) * F.lit(FLAT_EXPOSURE))
 
 

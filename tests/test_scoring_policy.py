@@ -203,3 +203,12 @@ def test_sliders(spark):
     assert (on.max_enq_6m, on.min_monthly_income) == (14, 1000)
     assert math.isclose(policy.before_and_after(applicants(spark, {"enq_L6m": 20}), on).where(
         "category = 'Rejected'").first()["with_policy"], 1)
+
+
+def test_missing_income_fails_an_income_floor(book):
+    """The simulation approves whom the policy approves: a missing income counts as 0 there."""
+    scored = book.scored().withColumn("NETMONTHLYINCOME", F.expr("if(PROSPECTID % 3 = 0, NULL, NETMONTHLYINCOME)"))
+    floor = policy.Policy("floor", min_monthly_income=10_000)
+    approved = policy.apply_policy(scored, floor).where("approved").count()
+    assert policy.simulate_policy(scored, floor).first()["n_approved"] == approved
+    assert policy.before_and_after(scored, floor).count() > 0
