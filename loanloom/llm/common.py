@@ -47,19 +47,33 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(application)
 
 
-def kept(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
+_scratch: list[str] = []
+
+
+def kept(df: DataFrame, name: str, *, by: str | None = None, lasting: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs nothing but its tasks, and expensive columns are
-    computed once however often the table is read.
+    computed once however often the table is read. ``sweep`` deletes it unless it is ``lasting``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/loanloom-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
+    if not lasting:
+        _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that ``kept`` wrote and nobody reads any more: results made so far are stored."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+    release(spark)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table written by ``kept`` (not partitioned) that no later step reads."""
     jvm = df.sparkSession.sparkContext._jvm

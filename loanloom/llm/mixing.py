@@ -132,7 +132,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     plan = _taken(rows.select("doc_id", "source", "text", F.col(row).alias("row")), ["doc_id", "row"], weights, share, repeats)
     taken, copy = fresh("_taken", rows.columns), fresh("_copy", rows.columns)
     times = plan.where("times > 0").select(F.col("row").alias(taken), F.sequence(F.lit(1), "times").alias(copy))
-    return rows.join(times, F.col(row) == F.col(taken)).withColumn(copy, F.explode(copy)).select(*docs.columns)
+    # as many rows as documents: never to be broadcast
+    return rows.join(times.hint("merge"), F.col(row) == F.col(taken)).withColumn(copy, F.explode(copy)).select(*docs.columns)
 
 
 SQL = """

@@ -200,22 +200,37 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(common / F.size(union))
 
 
+def _bucket_pairs(keys: DataFrame) -> DataFrame:
+    """``a, b``: members of each bucket with its smallest one, but for those with the same ``root``."""
+    centres = kept(keys.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("node", "root")).alias("centre"), F.count("*").alias("n"))
+                   .where("n > 1").select("_key", "centre"), "near-centres")
+    return (keys.join(centres, (F.col("key") == F.col("_key")) & (F.col("root") != F.col("centre.root")))
+            .select(F.col("centre.node").alias("a"), F.col("node").alias("b")))
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are similar enough."""
+    left = nodes.select(F.col("node").alias("_a"), F.col("bottom").alias("bottom_a"))
+    right = nodes.select(F.col("node").alias("_b"), F.col("bottom").alias("bottom_b"))
+    partial = F.greatest(F.size("bottom_a"), F.size("bottom_b")) >= KEPT_HASHES
+    least = F.when(partial, F.lit(similarity - SLACK)).otherwise(F.lit(similarity))
+    return (pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+            .where(jaccard(F.col("bottom_a"), F.col("bottom_b")) >= least).select("a", "b"))
+
+
 def near_duplicates(rows: DataFrame, row: str, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``row, doc_id, group`` of every row; rows of near-duplicate documents share the group."""
     sketches = kept(_sketches(rows.select("doc_id", F.col(row).alias("row"), "text"), shingle)
                     .withColumn("node", F.xxhash64("prints", "bottom")), "near-sketches")
     nodes = kept(sketches.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prints", "minima", "bottom")]), "near-nodes")
     keys = kept(_similarity_keys(nodes), "near-keys")
-    centres = kept(keys.groupBy(F.col("key").alias("_key")).agg(F.min("node").alias("a"), F.count("*").alias("n"))
-                   .where("n > 1").select("_key", "a"), "near-centres")
-    pairs = keys.join(centres, F.col("key") == F.col("_key")).select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    left = nodes.select(F.col("node").alias("_a"), F.col("bottom").alias("bottom_a"))
-    right = nodes.select(F.col("node").alias("_b"), F.col("bottom").alias("bottom_b"))
-    partial = F.greatest(F.size("bottom_a"), F.size("bottom_b")) >= KEPT_HASHES
-    least = F.when(partial, F.lit(similarity - SLACK)).otherwise(F.lit(similarity))
-    alike = (pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-             .where(jaccard(F.col("bottom_a"), F.col("bottom_b")) >= least).select("a", "b"))
-    roots = kept(components(alike).withColumnRenamed("node", "_node"), "near-roots")
+    first = _bucket_pairs(keys.withColumn("root", F.col("node"))).groupBy("b").agg(F.min("a").alias("a"))
+    links = kept(_alike(first, nodes, similarity), "near-links")
+    roots = kept(components(links).withColumnRenamed("node", "_node"), "near-roots")
+    # links inside what is connected already tell nothing new
+    rooted = keys.join(roots, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    more = _alike(_bucket_pairs(kept(rooted, "near-rooted")).distinct(), nodes, similarity)
+    roots = kept(components(links.unionByName(more)).withColumnRenamed("node", "_node"), "near-roots")
     return (sketches.select("doc_id", "row", "node").join(roots, F.col("node") == F.col("_node"), "left")
             .select("row", "doc_id", F.coalesce("root", "node").alias("group")))
 

@@ -14,7 +14,7 @@ from test_lines_mix_quality import brute_lines
 def staged(spark, docs, folder):
     out = [docs]
     for name, stage in corpus_pipeline.STAGES:
-        out.append(kept(stage(spark, out[-1], folder), name))
+        out.append(kept(stage(spark, out[-1], folder), name, lasting=True))
     return out
 
 
