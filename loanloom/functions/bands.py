@@ -32,11 +32,6 @@ def cut(column: Column, edges: Sequence[float], labels: Sequence, *,
     return chain.otherwise(F.lit(fill))
 
 
-def cut_ord(column: Column, edges: Sequence[float], *, right: bool = True) -> Column:
-    """Position of the band, for ordering bands whose labels do not sort."""
-    return cut(column, edges, range(len(edges) - 1), right=right).cast("int")
-
-
 def income_tier(income: Column) -> Column:
     return cut(income, *K.INCOME_TIER, fill="nan")
 

@@ -231,7 +231,7 @@ REPORTS = {
          "avg_credit_history_months": 0, "default_rate_high_enquiry_pct": 2,
          "default_rate_low_enquiry_pct": 2}),
     "08_gold_loan_analysis": Report(
-        "Are gold loan borrowers higher risk? (India-specific)", "borrowers", gold_loan_buckets,
+        "Does a gold loan go with a higher default rate?", "borrowers", gold_loan_buckets,
         {"pct_of_portfolio": 2, "default_rate_pct": 2, "avg_monthly_income": 0,
          "avg_recent_enquiries": 2, "avg_delinquencies": 2, "avg_total_loans": 1,
          "avg_active_ratio_pct": 2}),

@@ -280,7 +280,7 @@ silver("best_vs_worst_grade", " UNION ALL ".join(
  {r(f"avg({c}) FILTER (Approved_Flag = 'P4')")} AS mean_P4 FROM silver"""
     for c in ("Credit_Score", "NETMONTHLYINCOME", "num_times_delinquent", "Tot_Missed_Pmnt", "Total_TL")))
 ORACLE["dictionary_search"] = """SELECT doc_id, lang FROM documents
- WHERE regexp_matches(concat_ws(chr(10), text, lang, source), 'Approved|Flag|P1|P2|P3|P4', 'i')"""
+ WHERE regexp_matches(concat_ws(chr(10), text, lang, source), 'License|Copyright|Rights Reserved', 'i')"""
 KEYS = """count(*) AS row_count, count(DISTINCT PROSPECTID) AS distinct_keys, min(PROSPECTID) AS min_key,
  max(PROSPECTID) AS max_key, count(*) - count(DISTINCT PROSPECTID) AS duplicate_keys"""
 raw("ingest_summary_bank", f"SELECT {KEYS} FROM graded")

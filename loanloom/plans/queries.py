@@ -141,7 +141,7 @@ _over("best_vs_worst_grade", _silver, lambda df: profile.compare_groups(
     df, "Approved_Flag", "P1", "P4",
     ["Credit_Score", "NETMONTHLYINCOME", "num_times_delinquent", "Tot_Missed_Pmnt", "Total_TL"]))
 query("dictionary_search")(lambda book: profile.search(
-    _raw(book, "documents"), "Approved|Flag|P1|P2|P3|P4", ["text", "lang", "source"]).select("doc_id", "lang"))
+    _raw(book, "documents"), "License|Copyright|Rights Reserved", ["text", "lang", "source"]).select("doc_id", "lang"))
 query("ingest_summary_bank")(lambda book: ingest.summarise("internal_bank", book.bank()))
 query("ingest_summary_bureau")(lambda book: ingest.summarise("cibil_external", book.bureau()))
 query("application_summary")(lambda book: ingest.application_summary(_raw(book, "orders").select(
