@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -26,10 +27,13 @@ def standardised(fact: DataFrame, features: Sequence[str] = K.CLUSTER_FEATURES)
     return scaling.fit(complete).transform(complete).drop("raw")
 
 
-def best_of(scaled: DataFrame, k: int, restarts: int):
-    """The run with the lowest cost out of several starting points."""
-    runs = [KMeans(k=k, seed=SEED + i, featuresCol="features", predictionCol="cluster").fit(scaled)
-            for i in range(restarts)]
+def best_of(scaled: DataFrame, k: int, restarts: int, parallelism: int = 5):
+    """The run with the lowest cost out of several starting points; some run at the same time."""
+    def run(i):
+        return KMeans(k=k, seed=SEED + i, featuresCol="features", predictionCol="cluster").fit(scaled)
+
+    with ThreadPool(parallelism) as pool:
+        runs = pool.map(inheritable_thread_target(scaled.sparkSession)(run), range(restarts))
     return min(runs, key=lambda m: m.summary.trainingCost)
 
 

@@ -292,4 +292,4 @@ def _split_sizes(matrix: DataFrame) -> DataFrame:
     return both.groupBy("part").agg(F.count("*").alias("n"), F.avg(K.TARGET).alias("default_rate"))
 
 
-_over("borrower_clusters", _fact, lambda df: clustering.borrower_segments(df, restarts=2))
+_over("borrower_clusters", _fact, clustering.borrower_segments)

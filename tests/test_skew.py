@@ -6,6 +6,7 @@ import pytest
 from compare import connect, differences
 from loanloom.plans.oracle import ORACLE
 from loanloom.plans.queries import QUERIES
+from loanloom.sources import borrowers
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +66,13 @@ def test_hot_product_is_split_at_run_time(spark, skewed):
     assert any("skew=true" in line and "l_partkey" in line for line in joins)
     # lines are collapsed per order before the orders are joined: that join has no hot key left
     assert not any("skew=true" in line and "l_orderkey" in line for line in joins)
+
+
+def test_lines_without_product_still_count(spark, folder, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{folder}/part.parquet' WHERE p_partkey % 2 = 0) TO '{tmp_path}/part.parquet'")
+    for name in ("customer", "orders", "lineitem"):
+        con.execute(f"COPY (SELECT * FROM '{folder}/{name}.parquet') TO '{tmp_path}/{name}.parquet'")
+    totals = [borrowers.order_summary(spark, where).selectExpr("sum(lines)", "sum(loans)", "sum(late)", "sum(missed)").first()
+              for where in (folder, str(tmp_path))]
+    assert totals[0] == totals[1]
