@@ -39,18 +39,16 @@ def steepest_band(band_table: DataFrame) -> DataFrame:
     return changed.agg(best.alias("b")).select("b.*")
 
 
-def gini(df: DataFrame, column: str, by: Sequence[str] = (), few_values: bool = False) -> DataFrame:
+def gini(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Gini coefficient of a column, per group if asked.
 
     Equal values are counted once: a value with ``c`` rows after ``b`` smaller ones adds
-    ``v * (c*b + c*(c+1)/2)`` to the weighted sum. ``few_values`` is for columns on a
-    fixed scale.
+    ``v * (c*b + c*(c+1)/2)`` to the weighted sum.
     """
     by = list(by)
     rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("v"))
     counts = rows.groupBy(*by, "v").agg(F.count("*").alias("c"))
-    placed = running_totals(counts, "v", ["c"], by=by,
-                            limits=None if few_values else range_limits(rows, "v"))
+    placed = running_totals(counts, "v", ["c"], by=by, limits=range_limits(rows, "v"))
     c, b, v = F.col("c").cast("double"), F.col("c_before").cast("double"), F.col("v")
     sums = placed.groupBy(*by).agg(
         F.sum(v * (c * b + c * (c + 1.0) / 2.0)).alias("w"), F.sum(v * c).alias("s"),
@@ -61,13 +59,13 @@ def gini(df: DataFrame, column: str, by: Sequence[str] = (), few_values: bool =
 
 
 def gini_overall(fact: DataFrame) -> DataFrame:
-    """Inequality of bureau scores; the scale has 601 values, so one small window will do."""
-    return gini(fact, "cibil_score", few_values=True)
+    """Inequality of bureau scores."""
+    return gini(fact, "cibil_score")
 
 
 def gini_by_tier(fact: DataFrame, min_rows: int = 10) -> DataFrame:
     """Per income tier with more than ``min_rows`` borrowers, with mean score and default rate."""
-    unequal = gini(fact, "cibil_score", ["income_tier"], few_values=True)
+    unequal = gini(fact, "cibil_score", ["income_tier"])
     profile = fact.groupBy("income_tier").agg(
         F.count("*").alias("n_borrowers"), F.avg("cibil_score").alias("avg_cibil"),
         (F.avg(K.TARGET) * 100).alias("default_rate_pct"))
