@@ -15,10 +15,10 @@ exact, and neither forms the pairs of a large group.
 ``near_duplicates`` finds documents of a Jaccard similarity of ``SIMILARITY`` over five-word
 shingles. That is up to about a fifth of the fingerprint's bits, too many for selective keys. So
 shingle hashes are mixed in several ways (``MIXERS``), each of which gives a fingerprint and a
-smallest hash of its own, and a key joins a Golay index of a segment to the smallest hash. All
-documents of a bucket are compared with its smallest member only, by their bottom
-``KEPT_HASHES`` hashes (exact for documents with no more shingles). This search is approximate;
-tests measure its recall.
+smallest hash of its own, and a key joins a Golay index of a segment to the smallest hash. A
+document is compared with the smallest of its bucket only (in an Arrow batch first, then the
+smallest of each batch with the smallest of all), by their bottom ``KEPT_HASHES`` hashes (exact for
+documents with no more shingles). This search is approximate; tests measure its recall.
 
 Defined results: text without words (or NULL) has fingerprint zero and an empty shingle set, equal
 to each other; texts with fewer words than a shingle are one shingle; repeated rows are documents
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
@@ -49,6 +49,8 @@ SIMILARITY = 0.8
 KEPT_HASHES = 256
 # standard error of a similarity of 0.8 from that many hashes; larger documents get the benefit of it
 SLACK = 0.025
+# tasks over which the rows of a bucket that are paired already are spread
+PARTS = 256
 # odd multipliers
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
@@ -178,19 +180,31 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _similarity_keys(nodes: DataFrame) -> DataFrame:
-    """``key, node``: per mixer the smallest hash with each Golay index of each segment; none for empty texts."""
+    """``key, node, root, centre``: per mixer the smallest hash with each Golay index of each segment; none for empty texts.
+
+    Of the nodes of a batch that share a key the smallest leads and has no ``centre``. It is the
+    ``centre`` of the others, and those that share its ``root`` are left out.
+    """
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column("node").to_numpy()
+            node, root = (batch.column(c).to_numpy() for c in ("node", "root"))
             prints, minima = (np.array(batch.column(c).to_pylist(), dtype=np.int64).reshape(-1, len(MIXERS)) for c in ("prints", "minima"))
             for j in range(len(MIXERS)):
                 for i in range(len(SEGMENTS)):
                     place, index = neighbour_keys(_segment(prints[:, j], i).astype(np.int64))
-                    key = mixed((minima[place, j] ^ (index << 8 | i << 4 | j)).view(np.uint64), MIXERS[0])
-                    yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "node": node[place]})
+                    key = mixed((minima[place, j] ^ (index << 8 | i << 4 | j)).view(np.uint64), MIXERS[0]).view(np.int64)
+                    order = np.lexsort((node[place], key))
+                    key, place = key[order], place[order]
+                    leads = np.r_[np.ones(min(len(key), 1), dtype=bool), key[1:] != key[:-1]]
+                    centre = place[np.maximum.accumulate(np.where(leads, np.arange(len(key)), 0))]
+                    stays = leads | (root[place] != root[centre])
+                    yield pa.RecordBatch.from_pydict({
+                        "key": key[stays], "node": node[place[stays]], "root": root[place[stays]],
+                        "centre": pa.array(node[centre[stays]], pa.int64(), mask=leads[stays])})
 
     ship(nodes.sparkSession)
-    return nodes.where(F.size("minima") > 0).select("node", "prints", "minima").mapInArrow(keys, "key long, node long")
+    return (nodes.where(F.size("minima") > 0).select("node", "root", "prints", "minima")
+            .mapInArrow(keys, "key long, node long, root long, centre long"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -200,12 +214,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(common / F.size(union))
 
 
-def _bucket_pairs(keys: DataFrame) -> DataFrame:
-    """``a, b``: members of each bucket with its smallest one, but for those with the same ``root``."""
-    centres = kept(keys.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("node", "root")).alias("centre"), F.count("*").alias("n"))
-                   .where("n > 1").select("_key", "centre"), "near-centres")
-    return (keys.join(centres, (F.col("key") == F.col("_key")) & (F.col("root") != F.col("centre.root")))
-            .select(F.col("centre.node").alias("a"), F.col("node").alias("b")))
+def _bucket_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, b``: members of each bucket with a smallest one, but for those with the same ``root``.
+
+    Members are paired with the leader of their batch before anything is shuffled, and leaders with
+    the smallest of the bucket. A large group of near copies thus sends one row per batch and key
+    to a task; its other rows are spread by ``part``.
+    """
+    part = F.when(F.col("centre").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
+    least = F.min(F.struct("node", "root")).over(Window.partitionBy("key", "part"))
+    return (_similarity_keys(nodes).withColumn("part", part).withColumn("least", least)
+            .where(F.col("centre").isNotNull() | (F.col("root") != F.col("least.root")))
+            .select(F.coalesce("centre", "least.node").alias("a"), F.col("node").alias("b")))
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -223,13 +243,12 @@ def near_duplicates(rows: DataFrame, row: str, shingle: int = 5, similarity: flo
     sketches = kept(_sketches(rows.select("doc_id", F.col(row).alias("row"), "text"), shingle)
                     .withColumn("node", F.xxhash64("prints", "bottom")), "near-sketches")
     nodes = kept(sketches.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prints", "minima", "bottom")]), "near-nodes")
-    keys = kept(_similarity_keys(nodes), "near-keys")
-    first = _bucket_pairs(keys.withColumn("root", F.col("node"))).groupBy("b").agg(F.min("a").alias("a"))
+    first = _bucket_pairs(nodes.withColumn("root", F.col("node"))).groupBy("b").agg(F.min("a").alias("a"))
     links = kept(_alike(first, nodes, similarity), "near-links")
     roots = kept(components(links).withColumnRenamed("node", "_node"), "near-roots")
     # links inside what is connected already tell nothing new
-    rooted = keys.join(roots, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    more = _alike(_bucket_pairs(kept(rooted, "near-rooted")).distinct(), nodes, similarity)
+    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
+    more = _alike(_bucket_pairs(rooted).distinct(), nodes, similarity)
     roots = kept(components(links.unionByName(more)).withColumnRenamed("node", "_node"), "near-roots")
     return (sketches.select("doc_id", "row", "node").join(roots, F.col("node") == F.col("_node"), "left")
             .select("row", "doc_id", F.coalesce("root", "node").alias("group")))
