@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import statistics
+from collections.abc import Callable, Mapping, Sequence
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanloom import constants as K
@@ -25,6 +24,8 @@ from loanloom.operators.silver import interaction_features
 
 SEED = 42
 FOLDS = 5
+# fits that run at the same time
+PARALLEL_FITS = 6
 WEIGHT = "_weight"
 PD = "predicted_pd"
 
@@ -124,14 +125,23 @@ def fit_weighted(train: DataFrame, positive_weight: float, trees: int = 300) ->
     return boosted_trees(model_inputs(train), trees).fit(weighted(train, positive_weight))
 
 
+def _side_by_side(spark: SparkSession, fit: Callable, inputs: Sequence, parallelism: int = PARALLEL_FITS) -> list:
+    """``fit`` of every input; the small jobs of one fit leave room for those of others."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(spark)(fit), inputs)
+
+
 def cross_validate(train: DataFrame, trees: int = 300, folds: int = FOLDS) -> dict[str, float]:
-    """Mean and spread of the AUC over folds drawn from the key."""
-    prepared = weighted(train, natural_weight(train)).withColumn("_fold", _draw(SEED + 1, folds).cast("int"))
-    validator = CrossValidator(
-        estimator=boosted_trees(model_inputs(train), trees), estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=BinaryClassificationEvaluator(labelCol=K.TARGET, numBins=0), numFolds=folds, foldCol="_fold")
-    model = validator.fit(prepared)
-    return {"cv_auc_mean": model.avgMetrics[0], "cv_auc_std": model.stdMetrics[0]}
+    """Mean and spread of the exact AUC over folds drawn from the key."""
+    prepared = train.withColumn("_fold", _draw(SEED + 1, folds).cast("int"))
+    weight = natural_weight(train)
+
+    def fold_auc(fold: int) -> float:
+        model = fit_weighted(prepared.where(F.col("_fold") != fold).drop("_fold"), weight, trees)
+        return auc(score(prepared.where(F.col("_fold") == fold), model)).first()["auc"]
+
+    found = _side_by_side(train.sparkSession, fold_auc, range(folds))
+    return {"cv_auc_mean": statistics.fmean(found), "cv_auc_std": statistics.pstdev(found)}
 
 
 def evaluate(scored: DataFrame, threshold: float = K.DECISION_THRESHOLD) -> DataFrame:
@@ -171,17 +181,14 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def weight_sweep(silver: DataFrame, trees: int = 300, parallelism: int = 3,
+def weight_sweep(silver: DataFrame, trees: int = 300, parallelism: int = PARALLEL_FITS,
                  multiples: Sequence[float] = K.WEIGHT_MULTIPLES) -> DataFrame:
     """Precision, recall, F1 and AUC for multiples of the natural class weight."""
     train, test = train_test(feature_matrix(silver, engineered=True))
     with held(train) as (rows,):
         natural = natural_weight(rows)
         weights = sorted({round(natural * m, 2) for m in multiples})
-        with ThreadPool(parallelism) as pool:
-            fit = inheritable_thread_target(rows.sparkSession)(
-                lambda w: fit_weighted(rows, w, trees))
-            models = pool.map(fit, weights)
+        models = _side_by_side(rows.sparkSession, lambda w: fit_weighted(rows, w, trees), weights, parallelism)
     return _union([evaluate(score(test, model)).select(
         F.lit(w).alias("scale_pos_weight"), "precision", "recall", "f1", "auc")
         for w, model in zip(weights, models)])
@@ -230,15 +237,13 @@ def model_comparison(silver: DataFrame, trees: int = 200) -> DataFrame:
                 (f"Behavioural Model ({len(behaviour)} features)", behaviour),
                 ("Combined (Score + Behaviour)", [*behaviour, K.SCORE_FEATURE]))
     train, test = train_test(feature_matrix(silver, [*behaviour, K.SCORE_FEATURE]))
-    results = []
     with held(train) as (rows,):
-        weight = natural_weight(rows)
-        for name, features in variants:
-            model = boosted_trees(features, trees).fit(weighted(rows, weight))
-            results.append(evaluate(score(test, model)).select(
-                F.lit(name).alias("model"), F.lit(len(features)).alias("features"), "auc", "f1",
-                (F.lit(len(features) == 1) & (F.col("auc") > K.LEAKAGE_AUC)).alias("leakage_suspected")))
-    return _union(results)
+        ready = weighted(rows, natural_weight(rows))
+        models = _side_by_side(rows.sparkSession, lambda v: boosted_trees(v[1], trees).fit(ready), variants)
+    return _union([evaluate(score(test, model)).select(
+        F.lit(name).alias("model"), F.lit(len(features)).alias("features"), "auc", "f1",
+        (F.lit(len(features) == 1) & (F.col("auc") > K.LEAKAGE_AUC)).alias("leakage_suspected"))
+        for (name, features), model in zip(variants, models)])
 
 
 def logistic_model(matrix: DataFrame, features: Sequence[str] | None = None) -> PipelineModel:

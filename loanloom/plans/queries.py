@@ -20,8 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
-# Boosted trees per model in the registered queries; library defaults are 200 and 300.
-TREES = 20
+_fits: dict[tuple, object] = {}
 
 
 def query(name: str):
@@ -40,6 +39,22 @@ def _raw(book: LoanBook, name: str) -> DataFrame:
     return read_table(book.spark, book.folder, name)
 
 
+def _once_fitted(name: str, silver: DataFrame, fit: Callable[[DataFrame], object]):
+    """The result of ``fit``, shared by the queries of an application that read the same silver files."""
+    slot = (name, silver.sparkSession.sparkContext.applicationId, *sorted(silver.inputFiles()))
+    if slot not in _fits:
+        _fits[slot] = fit(silver)
+    return _fits[slot]
+
+
+def _trained(silver: DataFrame):
+    return _once_fitted("trained", silver, modelling.train_and_evaluate)
+
+
+def _sweep(silver: DataFrame) -> DataFrame:
+    return _once_fitted("sweep", silver, modelling.weight_sweep)
+
+
 def _borrowers(book):
     return book.operational("borrowers")
 
@@ -245,12 +260,12 @@ query("card_importance")(lambda book: modelling.importance(
     modelling.linear_attributions(book.silver(), CARD), list(CARD)).drop("built_in_importance"))
 
 # ---- models: rows only, MLlib's numbers have no SQL equivalent ---------------------------------------------
-_over("gbt_metrics", _silver, lambda df: modelling.train_and_evaluate(df, TREES)[1])
+_over("gbt_metrics", _silver, lambda df: _trained(df)[1])
 
 
 @query("gbt_scores")
 def _gbt_scores(book):
-    model, _ = modelling.train_and_evaluate(book.silver(), TREES)
+    model, _ = _trained(book.silver())
     return modelling.score(book.silver(), model).select(K.KEY, K.TARGET, "predicted_pd")
 
 
@@ -258,14 +273,14 @@ def _gbt_scores(book):
 def _cross_validation(book):
     train, _ = modelling.train_test(modelling.feature_matrix(book.silver()))
     with modelling.held(train) as (rows,):
-        found = modelling.cross_validate(rows, TREES)
+        found = modelling.cross_validate(rows)
         return rows.agg(F.count("*").alias("n_train")).withColumns({k: F.lit(v) for k, v in found.items()})
 
 
-_over("weight_sweep", _silver, lambda df: modelling.weight_sweep(df, TREES))
-_over("best_weight", _silver, lambda df: modelling.best_weight(modelling.weight_sweep(df, TREES)))
-_over("tuned_model", _silver, lambda df: modelling.tuned_model(df, threshold=0.62, trees=TREES)[1])
-_over("model_comparison", _silver, lambda df: modelling.model_comparison(df, TREES))
+_over("weight_sweep", _silver, _sweep)
+_over("best_weight", _silver, lambda df: modelling.best_weight(_sweep(df)))
+_over("tuned_model", _silver, lambda df: modelling.tuned_model(df, threshold=0.62)[1])
+_over("model_comparison", _silver, modelling.model_comparison)
 
 
 @query("attributions")
@@ -277,7 +292,7 @@ def _attributions(book):
 @query("importance")
 def _importance(book):
     matrix = modelling.feature_matrix(book.silver())
-    model, _ = modelling.train_and_evaluate(book.silver(), TREES)
+    model, _ = _trained(book.silver())
     features = modelling.model_inputs(matrix)
     linear = modelling.attributions(matrix, modelling.logistic_model(matrix))
     return modelling.importance(linear, features, model)
