@@ -17,8 +17,9 @@ shingles. That is up to about a fifth of the fingerprint's bits, too many for se
 shingle hashes are mixed in several ways (``MIXERS``), each of which gives a fingerprint and a
 smallest hash of its own, and a key joins a Golay index of a segment to the smallest hash. A
 document is compared with the smallest of its bucket only (in an Arrow batch first, then the
-smallest of each batch with the smallest of all), by their bottom ``KEPT_HASHES`` hashes (exact for
-documents with no more shingles). This search is approximate; tests measure its recall.
+smallest of each batch with the smallest of all), by their bottom ``KEPT_HASHES`` hashes. These decide
+for documents with fewer shingles; pairs of larger ones that come near are verified on all hashes.
+This search is approximate; tests measure its recall.
 
 Defined results: text without words (or NULL) has fingerprint zero and an empty shingle set, equal
 to each other; texts with fewer words than a shingle are one shingle; repeated rows are documents
@@ -47,8 +48,8 @@ MAX_BITS = 2
 PAIRED_BUCKET = 32
 SIMILARITY = 0.8
 KEPT_HASHES = 256
-# standard error of a similarity of 0.8 from that many hashes; larger documents get the benefit of it
-SLACK = 0.025
+# five standard errors of a similarity of 0.8 from that many hashes: what is further below is not verified
+SLACK = 0.125
 # tasks over which the rows of a bucket that are paired already are spread
 PARTS = 256
 # odd multipliers
@@ -158,25 +159,27 @@ def mixed(hashes: np.ndarray, mixer: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """All columns but ``text``, with a fingerprint and a smallest hash per mixer, and the bottom hashes."""
+    """All columns but ``text``, with a fingerprint and a smallest hash per mixer, the bottom hashes and all distinct ones."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, minima, bottoms = [], [], []
+            prints, minima, bottoms, wholes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(text, shingle)
                 ways = [mixed(hashes, m) for m in MIXERS] if len(hashes) else []
                 prints.append([majority(h) for h in ways])
                 minima.append([int(h.min().view(np.int64)) for h in ways])
                 bottoms.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))[:KEPT_HASHES])
+                wholes.append(np.unique(hashes.view(np.int64)))
             rest = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, *(pa.array(x, pa.list_(pa.int64())) for x in (prints, minima)), pa.array(bottoms, pa.list_(pa.int32()))],
-                [*rest.schema.names, "prints", "minima", "bottom"])
+                [*rest.columns, *(pa.array(x, pa.list_(pa.int64())) for x in (prints, minima)), pa.array(bottoms, pa.list_(pa.int32())),
+                 pa.array(wholes, pa.list_(pa.int64()))],
+                [*rest.schema.names, "prints", "minima", "bottom", "hashes"])
 
     ship(docs.sparkSession)
     schema = docs.drop("text").schema
     longs = ArrayType(LongType())
-    return docs.mapInArrow(add, schema.add("prints", longs).add("minima", longs).add("bottom", ArrayType(IntegerType())))
+    return docs.mapInArrow(add, schema.add("prints", longs).add("minima", longs).add("bottom", ArrayType(IntegerType())).add("hashes", longs))
 
 
 def _similarity_keys(nodes: DataFrame) -> DataFrame:
@@ -228,27 +231,35 @@ def _bucket_pairs(nodes: DataFrame) -> DataFrame:
             .select(F.coalesce("centre", "least.node").alias("a"), F.col("node").alias("b")))
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are similar enough."""
-    left = nodes.select(F.col("node").alias("_a"), F.col("bottom").alias("bottom_a"))
-    right = nodes.select(F.col("node").alias("_b"), F.col("bottom").alias("bottom_b"))
+def _alike(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are similar enough: by sketch where it has all hashes, else by all hashes."""
+    left = nodes.select(F.col("node").alias("_a"), F.col("bottom").alias("bottom_a"), F.col("row").alias("row_a"))
+    right = nodes.select(F.col("node").alias("_b"), F.col("bottom").alias("bottom_b"), F.col("row").alias("row_b"))
     partial = F.greatest(F.size("bottom_a"), F.size("bottom_b")) >= KEPT_HASHES
-    least = F.when(partial, F.lit(similarity - SLACK)).otherwise(F.lit(similarity))
-    return (pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-            .where(jaccard(F.col("bottom_a"), F.col("bottom_b")) >= least).select("a", "b"))
+    near = kept(pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+                .withColumns({"partial": partial, "estimate": jaccard(F.col("bottom_a"), F.col("bottom_b"))})
+                .where(F.col("estimate") >= F.when(F.col("partial"), F.lit(similarity - SLACK)).otherwise(F.lit(similarity)))
+                .select("a", "b", "row_a", "row_b", "partial"), "near-candidates")
+    whole_a = sketches.select(F.col("row").alias("_row_a"), F.col("hashes").alias("hashes_a"))
+    whole_b = sketches.select(F.col("row").alias("_row_b"), F.col("hashes").alias("hashes_b"))
+    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    verified = (near.where("partial").join(whole_a, F.col("row_a") == F.col("_row_a")).join(whole_b, F.col("row_b") == F.col("_row_b"))
+                .where(common >= F.lit(similarity) * (F.size("hashes_a") + F.size("hashes_b") - common)))
+    return near.where("NOT partial").select("a", "b").unionByName(verified.select("a", "b"))
 
 
 def near_duplicates(rows: DataFrame, row: str, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``row, doc_id, group`` of every row; rows of near-duplicate documents share the group."""
     sketches = kept(_sketches(rows.select("doc_id", F.col(row).alias("row"), "text"), shingle)
-                    .withColumn("node", F.xxhash64("prints", "bottom")), "near-sketches")
-    nodes = kept(sketches.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prints", "minima", "bottom")]), "near-nodes")
+                    .withColumn("node", F.xxhash64("hashes")), "near-sketches")
+    # of equal sets any fingerprints and bottom hashes do; the row is one that has the set
+    nodes = kept(sketches.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prints", "minima", "bottom")], F.min("row").alias("row")), "near-nodes")
     first = _bucket_pairs(nodes.withColumn("root", F.col("node"))).groupBy("b").agg(F.min("a").alias("a"))
-    links = kept(_alike(first, nodes, similarity), "near-links")
+    links = kept(_alike(first, nodes, sketches, similarity), "near-links")
     roots = kept(components(links).withColumnRenamed("node", "_node"), "near-roots")
     # links inside what is connected already tell nothing new
     rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
-    more = _alike(_bucket_pairs(rooted).distinct(), nodes, similarity)
+    more = _alike(_bucket_pairs(rooted).distinct(), nodes, sketches, similarity)
     roots = kept(components(links.unionByName(more)).withColumnRenamed("node", "_node"), "near-roots")
     return (sketches.select("doc_id", "row", "node").join(roots, F.col("node") == F.col("_node"), "left")
             .select("row", "doc_id", F.coalesce("root", "node").alias("group")))

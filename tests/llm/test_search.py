@@ -225,6 +225,27 @@ def test_one_of_each_group_stays(odd, nothing):
     assert simhash.keep_one(nothing).count() == 0
 
 
+def _altered(rng, n, changed):
+    """A text of ``n`` words of its own, and one with ``changed`` of them replaced, far apart."""
+    words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    other = list(words)
+    for i in range(changed):
+        other[i * n // changed + 2] = f"x{rng.randrange(10**9)}"
+    return " ".join(words), " ".join(other)
+
+
+def test_long_pairs_are_verified_on_all_shingles(spark):
+    rng = random.Random(17)
+    # of 996 shingles 23 x 5 or 21 x 5 change: similarities just below and just above 0.8
+    texts = [t for changed in (23, 21) for _ in range(40) for t in _altered(rng, 1000, changed)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    likeness = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert all(0.78 < x < 0.8 for x in likeness[:40]) and all(0.8 <= x < 0.82 for x in likeness[40:])
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    left = {r["doc_id"] for r in simhash.keep_one(rows).select("doc_id").collect()}
+    assert all({2 * i, 2 * i + 1} <= left for i in range(40))
+
+
 def brute_sketch(spark, texts):
     words = [[w for w in _parts(t)] for t in texts]
     flat = sorted({w for ws in words for w in ws})
