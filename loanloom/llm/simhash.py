@@ -19,7 +19,13 @@ smallest hash of its own, and a key joins a Golay index of a segment to the smal
 document is compared with the smallest of its bucket only (in an Arrow batch first, then the
 smallest of each batch with the smallest of all), by their bottom ``KEPT_HASHES`` hashes. These decide
 for documents with fewer shingles; pairs of larger ones that come near are verified on all hashes.
-This search is approximate; tests measure its recall.
+
+These stars connect large groups of copies without forming their pairs, but a member whose centre is a
+stranger stays uncompared. So an exact search over all shingles follows (``_shared_pairs``): in the order
+of their frequency, rarest first, two sets of that similarity share a hash among the first fifth of each.
+Every pair with such a hash is compared unless it is connected already; only the preselection of large
+pairs, at five standard errors, leaves a chance. Hashes of one document alone meet
+nobody and only count, so a passage that many share is a key for documents with little else.
 
 Defined results: text without words (or NULL) has fingerprint zero and an empty shingle set, equal
 to each other; texts with fewer words than a shingle are one shingle; repeated rows are documents
@@ -36,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from loanloom.llm.common import fresh, kept, numbered, ship
+from loanloom.llm.common import fresh, kept, numbered, release, ship
 from loanloom.llm.components import components
 from loanloom.llm.golay import neighbour_keys
 
@@ -248,6 +254,38 @@ def _alike(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, similarity:
     return near.where("NOT partial").select("a", "b").unionByName(verified.select("a", "b"))
 
 
+def _prefix_length(size: Column, similarity: float) -> Column:
+    """How many first hashes of a set meet those of every set of that similarity, in any common order."""
+    # rounding may make a prefix longer, never shorter
+    return size - F.ceil(F.lit(similarity - 1e-9) * size) + 1
+
+
+def _shared_pairs(sketches: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all pairs of nodes not connected yet that can be of that similarity."""
+    rows = sketches.select("row", "node", F.explode("hashes").alias("hash"))
+    shared = kept(rows.groupBy(F.col("hash").alias("_hash")).agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
+    release(sketches.sparkSession)
+    sizes = sketches.select(F.col("row").alias("_row"), F.size("hashes").alias("size"))
+    mine = (rows.join(shared, F.col("hash") == F.col("_hash")).groupBy("row", "node")
+            .agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("shared")))
+    alone = F.col("size") - F.size("shared")
+    firsts = (mine.join(sizes, F.col("row") == F.col("_row"))
+              .withColumn("left", (_prefix_length(F.col("size"), similarity) - alone).cast("int")).where(F.col("left") > 0)
+              .select("node", "size", F.explode(F.slice("shared", 1, F.col("left"))["hash"]).alias("key")).distinct())
+    keys = kept(firsts.join(roots, F.col("node") == F.col("_node"), "left")
+                .select("key", "node", "size", F.coalesce("root", "node").alias("root")), "near-prefixes")
+    release(sketches.sparkSession)
+    # buckets in which something is left to compare
+    open_ = kept(keys.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+                 .where("lo <> hi").select("_key"), "near-open")
+    left = kept(keys.join(open_, F.col("key") == F.col("_key"), "left_semi"), "near-left")
+    right = left.select(F.col("key").alias("_key"), F.col("node").alias("_other"), F.col("size").alias("_size"), F.col("root").alias("_root"))
+    return (left.join(right, F.col("key") == F.col("_key"))
+            .where((F.col("node") < F.col("_other")) & (F.col("root") != F.col("_root"))
+                   & (F.least("size", "_size") >= F.lit(similarity - 1e-9) * F.greatest("size", "_size")))
+            .select(F.col("node").alias("a"), F.col("_other").alias("b")).distinct())
+
+
 def near_duplicates(rows: DataFrame, row: str, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``row, doc_id, group`` of every row; rows of near-duplicate documents share the group."""
     sketches = kept(_sketches(rows.select("doc_id", F.col(row).alias("row"), "text"), shingle)
@@ -260,7 +298,12 @@ def near_duplicates(rows: DataFrame, row: str, shingle: int = 5, similarity: flo
     # links inside what is connected already tell nothing new
     rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
     more = _alike(_bucket_pairs(rooted).distinct(), nodes, sketches, similarity)
-    roots = kept(components(links.unionByName(more)).withColumnRenamed("node", "_node"), "near-roots")
+    links = kept(links.unionByName(more), "near-links")
+    roots = kept(components(links).withColumnRenamed("node", "_node"), "near-roots")
+    release(rows.sparkSession)
+    # whom the stars left uncompared
+    rest = _alike(_shared_pairs(sketches, roots, similarity), nodes, sketches, similarity)
+    roots = kept(components(links.unionByName(rest)).withColumnRenamed("node", "_node"), "near-roots")
     return (sketches.select("doc_id", "row", "node").join(roots, F.col("node") == F.col("_node"), "left")
             .select("row", "doc_id", F.coalesce("root", "node").alias("group")))
 

@@ -246,6 +246,25 @@ def test_long_pairs_are_verified_on_all_shingles(spark):
     assert all({2 * i, 2 * i + 1} <= left for i in range(40))
 
 
+def test_no_pair_is_lost_among_hot_passages(spark):
+    rng = random.Random(23)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    hot = [new(200) for _ in range(3)]
+    texts = []
+    for i in range(150):
+        own = new(60)
+        texts.append([*hot[i % 3], *own])
+        if i % 5 == 0:
+            # same passage and own words, but for a few at the end
+            texts.append([*hot[i % 3], *own[:40], *new(20)])
+    sets = [set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in texts]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    rows = spark.createDataFrame([(i, i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, _row long, text string").repartition(3)
+    group = {r["row"]: r["group"] for r in simhash.near_duplicates(rows, "_row").collect()}
+    assert len(pairs) == 30 and len(set(group.values())) == 150
+    assert all(group[i] == group[j] for i, j in pairs)
+
+
 def brute_sketch(spark, texts):
     words = [[w for w in _parts(t)] for t in texts]
     flat = sorted({w for ws in words for w in ws})
