@@ -2,7 +2,9 @@
 
 Listed rules name a host and a path; the longest one that fits decides. All other URLs are judged
 by association rules: frequent-pattern mining over the tokens of labelled pages finds combinations
-that occur often enough (support) and are bad often enough (confidence). Combinations are matched
+that occur often enough (support) and are bad often enough (confidence), of any length. Those of more
+than ``LISTED_TOKENS`` tokens count only if no rule is inside them: any page they fit is blocked by that
+rule already, so the verdict is that of all of them. Combinations are matched
 through an inverted index that files each one under its rarest token, so tokens that every URL has
 lead to few candidates.
 
@@ -21,11 +23,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanloom.llm.common import kept
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "label=bad"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
-MAX_TOKENS = 3
+# up to this length rules are kept and counted even if a shorter one is inside them
+LISTED_TOKENS = 3
 
 
 class ListedRule(NamedTuple):
@@ -80,7 +85,7 @@ def bad_pages(labels: DataFrame) -> DataFrame:
 
 
 def mined_rules(pages: DataFrame, labels: DataFrame, *, min_support: float = MIN_SUPPORT,
-                min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Token combinations that speak against a page: ``tokens, support, confidence``.
 
     ``support`` is the share of labelled pages that have the combination and are bad. The number
@@ -90,27 +95,43 @@ def mined_rules(pages: DataFrame, labels: DataFrame, *, min_support: float = MIN
                     .join(bad_pages(labels), "page_id")
                     .select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(transactions)
-    return (model.associationRules
-            .where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= max_tokens))
-            .select(F.array_sort("antecedent").alias("tokens"), "support", "confidence"))
+    rules = kept(model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
+                 .select(F.array_sort("antecedent").alias("tokens"), "support", "confidence"), "url-rules")
+    return _without_redundant(rules)
+
+
+def _filed(rules: DataFrame, uses: DataFrame) -> DataFrame:
+    """``tokens, confidence, token`` of every rule: the token of the fewest ``uses`` stands for it."""
+    spread = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
+    return (spread.join(uses, "token").groupBy("tokens", "confidence")
+            .agg(F.min(F.struct("uses", "token")).getField("token").alias("token")))
+
+
+def _without_redundant(rules: DataFrame) -> DataFrame:
+    """All rules but the long ones with another rule inside."""
+    long = rules.where(F.size("tokens") > LISTED_TOKENS)
+    spread = long.select(F.col("tokens").alias("_long"), F.explode("tokens").alias("token"))
+    index = _filed(rules, spread.groupBy("token").agg(F.count("*").alias("uses")))
+    redundant = (spread.join(index, "token")
+                 .where((F.size("tokens") < F.size("_long")) & (F.size(F.array_except("tokens", "_long")) == 0))
+                 .select("_long").distinct())
+    return rules.join(redundant, F.col("tokens") == F.col("_long"), "left_anti")
 
 
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Pages that some combination fits: ``page_id, url, n_rules, confidence`` (the highest)."""
     urls = pages.select("url").distinct().where("url IS NOT NULL").withColumn("items", url_tokens(F.col("url")))
     uses = urls.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
-    spread = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
-    index = (spread.join(uses, "token").groupBy("tokens", "confidence")
-             .agg(F.min(F.struct("uses", "token")).getField("token").alias("token")))
+    index = _filed(rules, uses)
     found = (urls.select("url", "items", F.explode("items").alias("token")).join(index, "token")
              .where(F.size(F.array_except("tokens", "items")) == 0))
     return found.groupBy("url").agg(F.count("*").alias("n_rules"), F.max("confidence").alias("confidence"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, listed: Sequence[ListedRule], *, min_support: float = MIN_SUPPORT,
-               min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+               min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``page_id, url, host, path, rule, verdict, n_rules, confidence`` for every row of ``pages``."""
-    rules = mined_rules(pages, labels, min_support=min_support, min_confidence=min_confidence, max_tokens=max_tokens)
+    rules = mined_rules(pages, labels, min_support=min_support, min_confidence=min_confidence)
     matched = match_rules(pages, rules).withColumnRenamed("url", "_url")
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     name, verdict = listed_rule(F.col("host"), F.col("path"), listed)

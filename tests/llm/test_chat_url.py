@@ -1,3 +1,5 @@
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from loanloom.llm import chat_format, url_filter
@@ -62,3 +64,23 @@ def test_mined_combination_blocks(spark):
     out = url_filter.judge_urls(frame, labels, RULES, min_support=0.1, min_confidence=0.9).collect()
     assert all((r["verdict"] == "block") == (r["page_id"] % 4 == 1) for r in out)
     assert url_filter.judge_urls(frame.limit(0), labels, RULES).count() == 0
+
+
+def test_combination_of_four_tokens_blocks(spark):
+    words = ("red", "blue", "green", "black")
+    chosen = [[w for k, w in enumerate(words) if i >> k & 1] for i in range(16)] * 5
+    frame = pages(spark, ["http://h.org/" + "/".join(c) for c in chosen])
+    labels = spark.createDataFrame([(i, 0 if len(c) == 4 else 1, 0) for i, c in enumerate(chosen)], "doc_id long, quality int, toxic int")
+    items = [{"host=h.org", "h=h", "h=org"} | {f"w={w}" for w in c} for c in chosen]
+    bad = [len(c) == 4 for c in chosen]
+    brute = set()
+    for size in range(1, 8):
+        for rule in map(frozenset, combinations(sorted(set().union(*items)), size)):
+            fits = [b for s, b in zip(items, bad, strict=True) if rule <= s]
+            if sum(fits) >= 0.05 * len(chosen) and sum(fits) >= 0.6 * len(fits):
+                brute.add(rule)
+    rules = {frozenset(r["tokens"]) for r in url_filter.mined_rules(frame, labels, min_support=0.05).collect()}
+    assert rules == {r for r in brute if len(r) <= 3 or not any(other < r for other in brute)} and max(map(len, rules)) == 4
+    out = url_filter.judge_urls(frame, labels, (), min_support=0.05).collect()
+    assert all((r["verdict"] == "block") == any(rule <= items[r["page_id"]] for rule in brute) for r in out)
+    assert sum(r["verdict"] == "block" for r in out) == 5
