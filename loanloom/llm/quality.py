@@ -4,8 +4,9 @@ Counts of a text alone (words, symbols, repeated lines, repeated word windows) r
 are too short or say the same thing again and again. Then lines are compared across documents:
 normalised lines are hashed, and for every host the documents that have a line are counted, equal
 texts once. A line that more than ``MAX_DOCUMENTS`` different documents of its host share is
-boilerplate and counts as removed; a document that loses more than ``MAX_LOST`` of its words is
-depleted and rejected.
+boilerplate and removed; a document that loses more than ``MAX_LOST`` of its words is depleted and
+rejected. ``judge`` tells counts and verdicts, ``clean`` returns the texts of all that is kept without
+their boilerplate lines; both read the same removed lines.
 
 Line counts are aggregated before they are shuffled, so a line that a third of all documents have
 costs each task one row. The counts of one text are a small Python function per row.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from loanloom.llm.common import kept, ship
+from loanloom.llm.common import fresh, kept, numbered, ship
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -59,66 +60,78 @@ def text_counts(text: str | None) -> dict[str, int]:
             "n_dup_lines": repeated, "n_repeat_words": inside}
 
 
-def normal_lines(text: str | None) -> list[tuple[int, int]]:
-    """Hash and number of words of every line with a word: lower case, digits as 0, single blanks."""
+def normal_lines(text: str | None) -> list[tuple[int, int, int]]:
+    """Hash, number of words and place of every line with a word: lower case, digits as 0, single blanks."""
     import xxhash
 
     out = []
-    for line in (text or "").lower().split("\n"):
+    for at, line in enumerate((text or "").lower().split("\n")):
         words = [w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]
         if words:
             normal = re.sub(r"[0-9]", "0", " ".join(words))
-            out.append((xxhash.xxh64_intdigest(normal.encode("utf-8", "surrogatepass")) - (1 << 63), len(words)))
+            out.append((xxhash.xxh64_intdigest(normal.encode("utf-8", "surrogatepass")) - (1 << 63), len(words), at))
     return out
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """``doc_id, source``, a hash of the text, the counts and the normalised lines of every row."""
+def counted(docs: DataFrame, *also: str) -> DataFrame:
+    """``doc_id, source``, a hash of the text, the counts, the normalised lines and ``also`` of every row."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    line_type = pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int64())]))
+    line_type = pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int64()), ("at", pa.int64())]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = [text_counts(t) for t in texts]
-            lines = pa.array([[{"hash": h, "words": n} for h, n in normal_lines(t)] for t in texts], line_type)
+            lines = pa.array([[{"hash": h, "words": n, "at": at} for h, n, at in normal_lines(t)] for t in texts], line_type)
             rest = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, *(pa.array([c[n] for c in counts], pa.int64()) for n in names), lines],
                 [*rest.schema.names, *names, "lines"])
 
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", "source", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
+    rows = docs.select("doc_id", "source", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text", *also)
     schema = rows.drop("text").schema
     for name in names:
         schema = schema.add(name, "long")
-    return rows.mapInArrow(count, schema.add("lines", ArrayType(StructType().add("hash", "long").add("words", "long"))))
+    return rows.mapInArrow(count, schema.add("lines", ArrayType(StructType().add("hash", "long").add("words", "long").add("at", "long"))))
 
 
-def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_lost: float = MAX_LOST) -> DataFrame:
-    """Counts and verdict of every row: ``base_failed``, ``words_lost``, ``kept``."""
-    rows = kept(counted(docs), "quality-rows")
+def _verdicts(docs: DataFrame, max_documents: int, max_lost: float, *also: str) -> DataFrame:
+    """Counts, ``removed`` lines (place and words, in order) and verdict of every row, and ``also``."""
+    rows = kept(counted(docs, *also), "quality-rows")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    lines = rows.select("doc_id", "source", "text_hash", F.explode("lines").alias("line")).select(
-        "doc_id", "source", "text_hash", "line.hash", "line.words")
+    lines = rows.select("source", "text_hash", F.explode("lines").alias("line")).select(
+        "source", "text_hash", "line.hash", "line.words", "line.at")
     holders = lines.select("source", "hash", "text_hash").distinct()
     common = kept(holders.groupBy(F.col("source").alias("_source"), F.col("hash").alias("_hash")).agg(F.count("*").alias("n"))
                   .where(F.col("n") > max_documents).drop("n"), "quality-lines")
-    lost = (lines.join(common, F.col("source").eqNullSafe(F.col("_source")) & (F.col("hash") == F.col("_hash")), "left_semi")
-            .groupBy("doc_id", "source", "text_hash").agg(F.sum("words").alias("all_lost"))
-            .withColumnsRenamed({"doc_id": "_id", "source": "_source", "text_hash": "_hash"}))
-    copies = rows.groupBy(F.col("doc_id").alias("_id2"), F.col("source").alias("_source2"), F.col("text_hash").alias("_hash2")).agg(
-        F.count("*").alias("copies")).where("copies > 1")
-    # rows that repeat were added up; each lost its share
-    shares = (lost.join(copies, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_source").eqNullSafe(F.col("_source2"))
-                        & (F.col("_hash") == F.col("_hash2")), "left")
-              .select("_id", "_source", "_hash", (F.col("all_lost") / F.coalesce("copies", F.lit(1))).cast("long").alias("words_lost")))
-    joined = rows.join(shares, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-                       & (F.col("text_hash") == F.col("_hash")), "left")
-    words_lost = F.coalesce("words_lost", F.lit(0))
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
-        words_lost.alias("words_lost"), (~base & (words_lost <= max_lost * F.col("n_words"))).alias("kept"))
+    # equal texts of a host lose equal lines
+    removed = (lines.join(common, F.col("source").eqNullSafe(F.col("_source")) & (F.col("hash") == F.col("_hash")), "left_semi")
+               .select("source", "text_hash", "at", "words").distinct()
+               .groupBy(F.col("source").alias("_source"), F.col("text_hash").alias("_hash"))
+               .agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("removed")))
+    joined = rows.join(removed, F.col("source").eqNullSafe(F.col("_source")) & (F.col("text_hash") == F.col("_hash")), "left")
+    words_lost = F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda n, line: n + line["words"]), F.lit(0))
+    return joined.withColumns({"base_failed": base, "words_lost": words_lost}).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("words_lost") <= max_lost * F.col("n_words")))
+
+
+def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_lost: float = MAX_LOST) -> DataFrame:
+    """Counts and verdict of every row: ``base_failed``, ``words_lost``, ``kept``."""
+    return _verdicts(docs, max_documents, max_lost).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_lost", "kept")
+
+
+def clean(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_lost: float = MAX_LOST) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns, with texts without their boilerplate lines."""
+    rows, row = numbered(docs, "quality-numbered")
+    own, removed = fresh("_own", rows.columns), fresh("_removed", rows.columns)
+    named = rows.select("doc_id", "source", "text", F.col(row).alias("_row"))
+    found = _verdicts(named, max_documents, max_lost, "_row").where("kept").select(
+        F.col("_row").alias(own), F.col("removed.at").alias(removed))
+    text = F.array_join(F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains(F.col(removed), at.cast("long"))), "\n")
+    return (rows.join(found, F.col(row) == F.col(own))
+            .withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(text)).select(*docs.columns))
 
 
 SQL = r"""

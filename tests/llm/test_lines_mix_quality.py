@@ -89,6 +89,20 @@ def test_common_lines_deplete_documents(spark):
     assert all(out[i]["kept"] for i in (12, 13, 14, 50, 51, 100, 129))
 
 
+def test_clean_texts_have_no_common_lines(spark, odd, nothing):
+    boiler = [" ".join(prose(900 + i, 20)) for i in range(4)]
+    own = {i: lines(i, 2 if i < 12 else 30).split("\n") for i in range(15)}
+    texts = {i: "\n".join([boiler[0].upper(), *x[:1], "", boiler[1], *x[1:], *boiler[2:]]) for i, x in own.items()}
+    rows = [(i, t, "h", "x") for i, t in texts.items()] + [(51, "\n".join(boiler), "other", "y"), (12, texts[12], "h", "z"), (None, texts[13], "h", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, removed string")
+    out = quality.clean(docs)
+    assert out.columns == docs.columns
+    want = [(i, "\n".join([*own[i][:1], "", *own[i][1:]])) for i in (12, 12, 13, 14)] + [(51, "\n".join(boiler)), (None, "\n".join([*own[13][:1], "", *own[13][1:]]))]
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(want)
+    assert quality.clean(odd).columns == odd.columns and quality.clean(odd).count() == quality.judge(odd).where("kept").count()
+    assert quality.clean(nothing).count() == 0
+
+
 def test_odd_documents_are_judged(odd, nothing):
     out = quality.judge(odd).collect()
     assert len(out) == odd.count()
