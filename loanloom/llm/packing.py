@@ -34,11 +34,12 @@ class Encoder:
     """Ids of texts by a byte-level BPE file of the ``tokenizers`` library.
 
     The merges run in ``tiktoken`` over the file's own vocabulary: the same ids (tests compare
-    both libraries, random Unicode included) in a quarter of the time. The name of a special
-    token in a text is ordinary text.
+    both libraries, random Unicode included) in a quarter of the time. With ``added`` a text that
+    contains an added token of the file goes to ``tokenizers`` itself, which gives that token's id;
+    without, the name of such a token is ordinary text.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -46,16 +47,21 @@ class Encoder:
         special = {token.content for token in tokenizer.get_added_tokens_decoder().values()}
         spelled = _spelled_bytes()
         ranks = {bytes(spelled[c] for c in token): i for token, i in tokenizer.get_vocab().items() if token not in special}
+        self.tokenizer, self.added = tokenizer, sorted(special) if added else []
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        encode = self.encoding.encode_ordinary
-        return [np.array([*encode(text or ""), END], dtype="<u4").tobytes() for text in texts]
+        return [np.array([*self._encode(text or ""), END], dtype="<u4").tobytes() for text in texts]
+
+    def _encode(self, text: str) -> list[int]:
+        if any(token in text for token in self.added):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.encoding.encode_ordinary(text)
 
 
 @cache
 def encoder_of(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, added=True)
 
 
 def _spelled_bytes() -> dict[str, int]:

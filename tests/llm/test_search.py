@@ -109,6 +109,15 @@ def test_both_libraries_give_the_same_ids():
         assert np.frombuffer(ids, dtype="<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_added_tokens_keep_their_id(spark):
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>", "no such token", "<|endoftext |>", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], dtype="<u4").tolist() for r in packing.pack(docs.coalesce(1), PATH, PATTERN).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert 50256 in got[0]
+
+
 def test_held_out_languages(spark, folder, documents):
     out = queries.QUERIES["op4_language_id"](spark, folder).join(documents.select("doc_id", "lang", "text"), "doc_id").collect()
     held = [r for r in out if r["held_out"] and len(r["text"] or "") > 40]
