@@ -19,7 +19,7 @@ from loanloom import constants as K
 from loanloom.functions.columns import (booleans_to_int, fixed_rows, finite_or_zero, to_number,
                                         with_missing_as_zero)
 from loanloom.functions.ordered import fill_median
-from loanloom.operators.scoring import auc, confusion_matrix
+from loanloom.operators.scoring import auc, best_threshold, confusion_matrix, threshold_sweep
 from loanloom.operators.silver import interaction_features
 
 SEED = 42
@@ -208,15 +208,19 @@ def best_weight(sweep: DataFrame, min_recall: float = K.WEIGHT_MIN_RECALL) -> Da
 
 
 def tuned_model(silver: DataFrame, weight: float = K.TUNED_CLASS_WEIGHT,
-                threshold: float = K.DECISION_THRESHOLD, trees: int = 300) -> tuple[PipelineModel, DataFrame]:
+                threshold: float | None = K.DECISION_THRESHOLD, trees: int = 300) -> tuple[PipelineModel, DataFrame]:
     """The 19-feature model at one class weight: metrics at the default and a tuned cut-off.
 
+    Without a ``threshold`` the tuned one is the most precise with enough recall on the model's own scores.
     The change in false alarms and misses is stated on both rows.
     """
     train, test = train_test(feature_matrix(silver, engineered=True))
     with held(train) as (rows,):
         model = fit_weighted(rows, weight, trees)
     scored = score(test, model)
+    if threshold is None:
+        found = best_threshold(threshold_sweep(scored)).where("rule = 'best_precision'").first()["threshold"]
+        threshold = K.DECISION_THRESHOLD if found is None else found
     both = _union([evaluate(scored, t).select(F.lit(name).alias("variant"), F.lit(float(t)).alias("threshold"), "*")
                    for name, t in (("default", K.DECISION_THRESHOLD), ("tuned", threshold))])
 

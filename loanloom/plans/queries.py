@@ -55,6 +55,12 @@ def _sweep(silver: DataFrame) -> DataFrame:
     return _once_fitted("sweep", silver, modelling.weight_sweep)
 
 
+def _tuned(silver: DataFrame):
+    """The model at the weight that wins the sweep, and its metrics at the default and its best cut-off."""
+    weight = modelling.best_weight(_sweep(silver)).first()["scale_pos_weight"]
+    return modelling.tuned_model(silver, weight, threshold=None)
+
+
 def _borrowers(book):
     return book.operational("borrowers")
 
@@ -279,7 +285,7 @@ def _cross_validation(book):
 
 _over("weight_sweep", _silver, _sweep)
 _over("best_weight", _silver, lambda df: modelling.best_weight(_sweep(df)))
-_over("tuned_model", _silver, lambda df: modelling.tuned_model(df, threshold=0.62)[1])
+_over("tuned_model", _silver, lambda df: _tuned(df)[1])
 _over("model_comparison", _silver, modelling.model_comparison)
 
 

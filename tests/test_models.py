@@ -66,6 +66,20 @@ def test_sweep_comparison_and_tuned_model(book):
     assert not compared["Behavioural Model (15 features)"]["leakage_suspected"]
 
 
+def test_tuned_model_takes_the_weight_of_the_sweep(spark, folder, book, monkeypatch):
+    from loanloom.operators import scoring
+    from loanloom.plans import queries
+    kinds = "scale_pos_weight double, precision double, recall double, f1 double, auc double"
+    monkeypatch.setattr(queries, "_sweep", lambda df: spark.createDataFrame([(1.43, 0.5, 0.8, 0.6, 0.9), (3.25, 0.7, 0.8, 0.7, 0.9)], kinds))
+    fit, models = modelling.fit_weighted, {}
+    monkeypatch.setattr(modelling, "fit_weighted", lambda rows, w, trees: models.setdefault(w, fit(rows, w, 2)))
+    told = {r["variant"]: r for r in queries.QUERIES["tuned_model"](spark, folder).collect()}
+    assert list(models) == [3.25] and told["default"]["threshold"] == K.DECISION_THRESHOLD
+    _, test = modelling.train_test(modelling.feature_matrix(book.silver(), engineered=True))
+    found = scoring.best_threshold(scoring.threshold_sweep(modelling.score(test, models[3.25]))).collect()
+    assert told["tuned"]["threshold"] == next(r["threshold"] for r in found if r["rule"] == "best_precision")
+
+
 def test_best_weight_rules(spark):
     kinds = "scale_pos_weight double, precision double, recall double, f1 double, auc double"
     some = spark.createDataFrame([(1.0, 0.6, 0.8, 0.7, 0.9), (2.0, 0.7, 0.7, 0.7, 0.9), (3.0, 0.9, 0.6, 0.72, 0.9)], kinds)
