@@ -35,6 +35,7 @@ of their own; NULL ids come last. Only the named columns are read, others pass t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from loanloom.llm.common import fresh, kept, numbered, release, ship
+from loanloom.llm.common import fresh, forget, kept, numbered, release, ship
 from loanloom.llm.components import components
 from loanloom.llm.golay import neighbour_keys
 
@@ -50,6 +51,8 @@ SEED = 42
 # first bit and width of each segment
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 MAX_BITS = 2
+# the exact search goes over the hashes in so many parts
+HASH_SLICES = 4
 # up to this size the members of a bucket are compared pair by pair
 PAIRED_BUCKET = 32
 SIMILARITY = 0.8
@@ -262,11 +265,17 @@ def _prefix_length(size: Column, similarity: float) -> Column:
 
 def _shared_pairs(sketches: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: all pairs of nodes not connected yet that can be of that similarity."""
-    rows = sketches.select("row", "node", F.explode("hashes").alias("hash"))
-    shared = kept(rows.groupBy(F.col("hash").alias("_hash")).agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
-    release(sketches.sparkSession)
-    sizes = sketches.select(F.col("row").alias("_row"), F.size("hashes").alias("size"))
-    mine = (rows.join(shared, F.col("hash") == F.col("_hash")).groupBy("row", "node")
+    # one slice of the hashes after the other, so that only a slice is on its way at a time
+    slices = []
+    for i in range(HASH_SLICES):
+        rows = sketches.select("row", F.explode(F.filter("hashes", lambda h: F.pmod(h, F.lit(HASH_SLICES)) == i)).alias("hash"))
+        common = kept(rows.groupBy(F.col("hash").alias("_hash")).agg(F.count("*").alias("n")).where("n > 1"), "near-common")
+        release(sketches.sparkSession)
+        slices.append(kept(rows.join(common, F.col("hash") == F.col("_hash")).select("row", "n", "hash"), "near-shared"))
+        release(sketches.sparkSession)
+        forget(common)
+    sizes = sketches.select(F.col("row").alias("_row"), "node", F.size("hashes").alias("size"))
+    mine = (reduce(DataFrame.unionByName, slices).groupBy("row")
             .agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("shared")))
     alone = F.col("size") - F.size("shared")
     firsts = (mine.join(sizes, F.col("row") == F.col("_row"))
