@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import chat_format, fingerprints, lang_id, line_dedup, mixing, packing, quality, simhash, suffix_dedup, url_filter
+from loanloom.llm import (chat_format, cross_tokens, fingerprints, lang_id, line_dedup, mixing, packing, periods, quality,
+                          simhash, suffix_dedup, url_filter, warc)
 from loanloom.llm.common import table
 
 # listed rules of the URL contract (fixed values)
@@ -73,6 +76,43 @@ def mixed(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def aligned(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    files = cross_tokens.Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                                      public_tokenizers.path("piece_bpe_32k.model"))
+    found = cross_tokens.align(table(spark, folder, "documents"), files,
+                               lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))).documents
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def archived(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.archived(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's text: in one of ten documents the words from a place on repeat a period."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, folder, "documents").select("doc_id", "text"), planted)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"),
+                                                              (-r["period"]).alias("often"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.often")).alias("period"), F.expr("1000 * best.length div -best.often").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_chat_format": chat,
     "op2_suffix_dedup": substrings,
@@ -84,6 +124,9 @@ QUERIES = {
     "op8_syncmer_fingerprints": syncmers,
     "op9_quality_rules": judged,
     "op10_mix": mixed,
+    "op11_token_alignment": aligned,
+    "op12_warc": archived,
+    "op13_periodic_runs": runs,
 }
 ORACLE = {
     "op1_chat_format": chat_format.SQL,

@@ -29,4 +29,4 @@ def test_entry_has_them_all():
     import __spark_entry__ as entry
     names = entry.queries()
     assert set(QUERIES) <= set(names) and "pipeline" in names
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
