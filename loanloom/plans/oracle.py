@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loanloom.constants import FEATURES, WEIGHT_MULTIPLES
 from loanloom.plans.oracle_base import FACT, RAW, SCORED, SILVER, r, with_tables
 
 ORACLE: dict[str, str] = {}
@@ -649,3 +650,40 @@ scored("attribution_reasons", f""", long AS ({LONG}),
  coalesce(string_agg(feature, ',' ORDER BY rk) FILTER (NOT up), '') AS safe_features,
  coalesce(string_agg(said, '; ' ORDER BY rk) FILTER (up), '') AS risk_reasons
  FROM scored LEFT JOIN side USING (borrower_id) GROUP BY scored.borrower_id""")
+
+# ---- models: what has a counterpart in SQL --------------------------------------------------------------------------
+PACES = {"enq_per_credit_year": "enq_L6m / (Age_Oldest_TL / 12.0::DOUBLE + 1)",
+         "delinquency_rate": "num_times_delinquent / (Total_TL + 1.0::DOUBLE)",
+         "enq_acceleration": "CASE WHEN 2 * enq_L6m > enq_L12m THEN enq_L6m - enq_L12m / 2.0::DOUBLE ELSE 0 END",
+         "severe_delinquency_ratio": "num_times_60p_dpd / (num_times_delinquent + 1.0::DOUBLE)"}
+
+
+def first_rows(table, salt, shares):
+    """Number of the part a row is in, when each class is cut after exact shares of its rows in the order of its draws."""
+    place = f"row_number() OVER (PARTITION BY default_risk ORDER BY substr(md5('{salt}:' || PROSPECTID), 1, 15), PROSPECTID)"
+    limits = " + ".join(f"({place} > floor(count(*) OVER (PARTITION BY default_risk) * {s}::DOUBLE + 0.5::DOUBLE))::INTEGER"
+                        for s in shares)
+    return f"SELECT *, {limits} AS part FROM {table}"
+
+
+SPLIT = f", split AS ({first_rows('silver', 42, [0.2])}), train AS (SELECT * EXCLUDE (part) FROM split WHERE part = 1)"
+silver("train_test_sizes", f"""{SPLIT} SELECT CASE part WHEN 0 THEN 'test' ELSE 'train' END AS part, count(*) AS n,
+ {r('avg(default_risk::DOUBLE)')} AS default_rate FROM split GROUP BY ALL""")
+silver("fold_sizes", f"""{SPLIT}, folds AS ({first_rows('train', 43, [i / 5 for i in range(1, 5)])})
+ SELECT part AS fold, default_risk::DOUBLE AS default_risk, count(*) AS n, sum(PROSPECTID)::BIGINT AS key_sum FROM folds GROUP BY ALL""")
+# every value of a feature at a rank of i / 64 is a limit; a cut sends values up to the limit to the left
+NAMED = {c: c for c in (*FEATURES, *PACES)} | PACES
+silver("first_splits", f"""{SPLIT},
+ long AS ({" UNION ALL ".join(f"SELECT '{name}' AS feature, ({sql})::DOUBLE AS v, default_risk AS y FROM train" for name, sql in NAMED.items())}),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY v) AS nth, count(*) OVER (PARTITION BY feature) AS n FROM long),
+ limits AS (SELECT DISTINCT feature, v AS cut FROM placed, range(1, 64) t(i) WHERE nth = ceil(i / 64.0::DOUBLE * n)),
+ weights AS (SELECT DISTINCT round(m * safe_per_risky, 2) AS w FROM (SELECT count(*) FILTER (y = 0) / count(*) FILTER (y = 1)::DOUBLE AS safe_per_risky
+  FROM long), (SELECT unnest([{", ".join(f"{m}::DOUBLE" for m in WEIGHT_MULTIPLES)}]) AS m)),
+ counted AS (SELECT feature, cut, count(*) FILTER (v <= cut AND y = 1) AS p1, count(*) FILTER (v <= cut AND y = 0) AS n1,
+  count(*) FILTER (v > cut AND y = 1) AS p2, count(*) FILTER (v > cut AND y = 0) AS n2 FROM limits JOIN long USING (feature) GROUP BY ALL),
+ sums AS (SELECT *, 0.5::DOUBLE * (n1 - w * p1) AS g1, 0.25::DOUBLE * (n1 + w * p1) AS h1,
+  0.5::DOUBLE * (n2 - w * p2) AS g2, 0.25::DOUBLE * (n2 + w * p2) AS h2 FROM counted, weights),
+ gained AS (SELECT w, feature, cut, round(g1 * g1 / (h1 + 1) + g2 * g2 / (h2 + 1) - (g1 + g2) * (g1 + g2) / (h1 + h2 + 1), 9) AS gain
+  FROM sums WHERE h1 >= 1 AND h2 >= 1)
+ SELECT {r('w')} AS scale_pos_weight, feature, {r('cut')} AS cut, {r('gain')} AS gain FROM gained
+ QUALIFY row_number() OVER (PARTITION BY w, feature ORDER BY gain DESC, cut) = 1""")

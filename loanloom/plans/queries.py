@@ -20,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
+# fits of the application, the oldest of which give way
+KEPT_FITS = 8
 _fits: dict[tuple, object] = {}
 
 
@@ -41,24 +43,35 @@ def _raw(book: LoanBook, name: str) -> DataFrame:
 
 def _once_fitted(name: str, silver: DataFrame, fit: Callable[[DataFrame], object]):
     """The result of ``fit``, shared by the queries of an application that read the same silver files."""
-    slot = (name, silver.sparkSession.sparkContext.applicationId, *sorted(silver.inputFiles()))
+    slot = _slot(name, silver)
     if slot not in _fits:
+        while len(_fits) >= KEPT_FITS:
+            _fits.pop(next(iter(_fits)))
         _fits[slot] = fit(silver)
     return _fits[slot]
 
 
+def _slot(name: str, silver: DataFrame) -> tuple:
+    return (name, silver.sparkSession.sparkContext.applicationId, *sorted(silver.inputFiles()))
+
+
 def _trained(silver: DataFrame):
     return _once_fitted("trained", silver, modelling.train_and_evaluate)
 
 
+def _sweep_fits(silver: DataFrame) -> modelling.Sweep:
+    return _once_fitted("sweep", silver, modelling.sweep)
+
+
 def _sweep(silver: DataFrame) -> DataFrame:
-    return _once_fitted("sweep", silver, modelling.weight_sweep)
+    return _sweep_fits(silver).table
 
 
 def _tuned(silver: DataFrame):
-    """The model at the weight that wins the sweep, and its metrics at the default and its best cut-off."""
+    """The sweep's winner, and its metrics at the default and its best cut-off."""
     weight = modelling.best_weight(_sweep(silver)).first()["scale_pos_weight"]
-    return modelling.tuned_model(silver, weight, threshold=None)
+    fitted = _fits.get(_slot("sweep", silver))
+    return modelling.tuned_model(silver, weight, threshold=None, model=fitted.models.get(weight) if fitted else None)
 
 
 def _borrowers(book):
@@ -278,14 +291,14 @@ def _gbt_scores(book):
 @query("cross_validation")
 def _cross_validation(book):
     train, _ = modelling.train_test(modelling.feature_matrix(book.silver()))
-    with modelling.held(train) as (rows,):
-        found = modelling.cross_validate(rows)
-        return rows.agg(F.count("*").alias("n_train")).withColumns({k: F.lit(v) for k, v in found.items()})
+    found = modelling.cross_validate(train)
+    return train.agg(F.count("*").alias("n_train")).withColumns({k: F.lit(v) for k, v in found.items()})
 
 
 _over("weight_sweep", _silver, _sweep)
 _over("best_weight", _silver, lambda df: modelling.best_weight(_sweep(df)))
 _over("tuned_model", _silver, lambda df: _tuned(df)[1])
+_over("first_splits", _silver, modelling.first_splits)
 _over("model_comparison", _silver, modelling.model_comparison)
 
 
@@ -313,4 +326,11 @@ def _split_sizes(matrix: DataFrame) -> DataFrame:
     return both.groupBy("part").agg(F.count("*").alias("n"), F.avg(K.TARGET).alias("default_rate"))
 
 
+@query("fold_sizes")
+def _fold_sizes(book):
+    train, _ = modelling.train_test(modelling.feature_matrix(book.silver()))
+    return modelling.folded(train).groupBy(F.col(modelling.PART).alias("fold"), K.TARGET).agg(
+        F.count("*").alias("n"), F.sum(F.col(K.KEY)).alias("key_sum"))
+
+
 _over("borrower_clusters", _fact, clustering.borrower_segments)

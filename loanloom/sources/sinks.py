@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanloom import schemas
+from loanloom.operators.boosting import BoostedTrees
 from loanloom.operators.export import named_for_sink
 
+TREES = "trees.json"
+
 
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -54,26 +57,39 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType = schemas.MOD
     return found.fillna({n: v for n, v in values.items() if isinstance(v, (int, float, str))})
 
 
-def save_model(model: PipelineModel, path: str, features: Sequence[str], metrics: DataFrame) -> None:
-    """The pipeline, and next to it its features, metrics and type."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | BoostedTrees, path: str, features: Sequence[str], metrics: DataFrame) -> None:
+    """The model, and next to it its features, metrics and type.
+
+    Pipelines are stored as Spark does, trees as one line of JSON.
+    """
+    if isinstance(model, BoostedTrees):
+        line = metrics.sparkSession.createDataFrame([(model.to_json(),)], "value string")
+        line.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/{TREES}")
+    else:
+        model.write().overwrite().save(path)
     record = metrics.select(
         F.array(*[F.lit(c) for c in features]).alias("feature_names"),
         F.lit(len(features)).cast("long").alias("n_features"),
         F.struct(*metrics.columns).alias("metrics"),
-        F.lit(type(model.stages[-1]).__name__).alias("model_type"))
+        F.lit(type(model if isinstance(model, BoostedTrees) else model.stages[-1]).__name__).alias("model_type"))
     write_json(record, f"{path.rstrip('/')}_metadata")
 
 
-def load_model(candidates: Sequence[str]) -> PipelineModel:
+def _exists(path: str) -> bool:
+    try:
+        SparkSession.active().read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def load_model(candidates: Sequence[str]) -> PipelineModel | BoostedTrees:
     """The first candidate that exists."""
-    spark = SparkSession.active()
     for path in candidates:
-        try:
-            spark.read.text(f"{path.rstrip('/')}/metadata")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-        else:
+        if _exists(f"{path.rstrip('/')}/{TREES}"):
+            return BoostedTrees.from_json(SparkSession.active().read.text(f"{path.rstrip('/')}/{TREES}").first()["value"])
+        if _exists(f"{path.rstrip('/')}/metadata"):
             return PipelineModel.load(path)
     raise FileNotFoundError(f"no model at any of {list(candidates)}")
