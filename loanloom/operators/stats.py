@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from loanloom import constants as K
 from loanloom.functions import bands
 from loanloom.functions.columns import mean_where, numeric_columns, unpivot_rows
 from loanloom.functions.ordered import range_limits, running_totals
+from loanloom.functions.special import with_correlation_p_value
 
 MIN_SIGNAL_ROWS = 100
 SIGNIFICANCE = 0.05
@@ -166,29 +166,24 @@ def early_warning_signals(fact: DataFrame, top: int = 20) -> DataFrame:
 
 
 def group_p_values(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """p-value of each feature against a two-class label.
+    """p-value of each feature against a two-class label, for all features in one pass.
 
     With two classes the one-way F equals the squared t, so this serves the correlation
-    and the two-sample test alike. A feature with gaps is tested on its own rows.
+    and the two-sample test alike. A feature with gaps is tested on its own rows; one that
+    does not vary has neither F nor p-value and is not significant.
     """
-    spark = df.sparkSession
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
-    groups = [[c for c in features if not gaps[c]]] + [[c] for c in features if gaps[c]]
-    results = []
-    for names in filter(None, groups):
-        rows = df.select(F.col(label).cast("double").alias("_label"),
-                         *[F.col(c).cast("double").alias(c) for c in names]).dropna()
-        vectors = VectorAssembler(inputCols=names, outputCol="_x").transform(rows)
-        test = spark.sparkContext._jvm.org.apache.spark.ml.stat.ANOVATest
-        found = DataFrame(test.test(vectors._jdf, "_x", "_label", True), spark)
-        labels = F.array(*[F.lit(c) for c in names])
-        results.append(found.select(F.get(labels, F.col("featureIndex")).alias("feature"),
-                                    F.col("pValue").alias("p_value"), F.col("fValue").alias("f_value"),
-                                    (F.col("pValue") < SIGNIFICANCE).alias("significant")))
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
+    mark = F.col(label).cast("double")
+    seen = df.agg(*[x for c in features for x in (
+        correlation(F.col(c), mark).alias(f"{c}_r"), F.count(F.when(mark.isNotNull(), F.col(c))).alias(f"{c}_n"))])
+    long = unpivot_rows(seen, ("feature", "r", "n"),
+                        [(F.lit(c), F.col(f"{c}_r"), F.col(f"{c}_n")) for c in features])
+    known = F.when(F.col("r").isNotNull() & ~F.isnan("r") & (F.col("n") > 2), F.least(F.greatest(F.col("r"), F.lit(-1.0)), F.lit(1.0)))
+    freedom = (F.col("n") - 2).cast("double")
+    told = with_correlation_p_value(long.withColumn("r", known), "p_value", F.col("r"), freedom)
+    square = F.col("r") * F.col("r")
+    f_value = F.when(square < 1, square / (F.lit(1.0) - square) * freedom).when(square == 1, F.lit(float("inf")))
+    return told.select("feature", "p_value", f_value.alias("f_value"),
+                       F.coalesce(F.col("p_value") < SIGNIFICANCE, F.lit(False)).alias("significant"))
 
 
 def signal_p_values(fact: DataFrame) -> DataFrame:

@@ -651,6 +651,22 @@ scored("attribution_reasons", f""", long AS ({LONG}),
  coalesce(string_agg(said, '; ' ORDER BY rk) FILTER (up), '') AS risk_reasons
  FROM scored LEFT JOIN side USING (borrower_id) GROUP BY scored.borrower_id""")
 
+# ---- p-values ---------------------------------------------------------------------------------------------------------
+# I_x(a, 1/2) with 1 - x = r^2, by the power series of the other side, whose terms are all positive
+TAIL = """1 - exp(0.5::DOUBLE * ln(rr * rr) + (n - 2) / 2.0::DOUBLE * ln(1 - rr * rr) - lgamma(0.5) - lgamma((n - 2) / 2.0::DOUBLE)
+ + lgamma((n - 1) / 2.0::DOUBLE)) / 0.5::DOUBLE * (SELECT sum(exp(lgamma((n - 1) / 2.0::DOUBLE + k) - lgamma((n - 1) / 2.0::DOUBLE)
+ - lgamma(1.5 + k) + lgamma(1.5) + k * ln(rr * rr))) FROM range(0, 6000) s(k))"""
+TESTED = f"""SELECT feature, {r(f"greatest(0, {TAIL})")} AS p_value, {r("rr * rr / (1 - rr * rr) * (n - 2)")} AS f_value,
+ ({TAIL}) < 0.05 AS significant FROM c"""
+RELATED = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, corr({c}::DOUBLE, default_risk::DOUBLE) AS rr, count({c}) AS n FROM fact" for c in NUMERIC)
+fact("signal_p_values", f", c AS ({RELATED}) {TESTED}")
+fact("ttest_gold_p_value", f""", c AS (SELECT 'default_risk' AS feature,
+ corr(default_risk::DOUBLE, has_gold_loan::INTEGER::DOUBLE) AS rr, count(*) AS n FROM fact) {TESTED}""")
+ORACLE["signals_with_p_values"] = (
+    ORACLE["early_warning_signals"].replace(" SELECT feature, ", ", listed AS (SELECT feature, ", 1)
+    + f"), tested AS ({TESTED}) SELECT listed.*, p_value, significant FROM listed JOIN tested USING (feature)")
+
 # ---- models: what has a counterpart in SQL --------------------------------------------------------------------------
 PACES = {"enq_per_credit_year": "enq_L6m / (Age_Oldest_TL / 12.0::DOUBLE + 1)",
          "delinquency_rate": "num_times_delinquent / (Total_TL + 1.0::DOUBLE)",
