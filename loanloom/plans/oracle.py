@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanloom.constants import FEATURES, WEIGHT_MULTIPLES
+from loanloom.constants import CLUSTER_FEATURES, FEATURES, WEIGHT_MULTIPLES
 from loanloom.plans.oracle_base import FACT, RAW, SCORED, SILVER, r, with_tables
 
 ORACLE: dict[str, str] = {}
@@ -703,3 +703,15 @@ silver("first_splits", f"""{SPLIT},
   FROM sums WHERE h1 >= 1 AND h2 >= 1)
  SELECT {r('w')} AS scale_pos_weight, feature, {r('cut')} AS cut, {r('gain')} AS gain FROM gained
  QUALIFY row_number() OVER (PARTITION BY w, feature ORDER BY gain DESC, cut) = 1""")
+
+# ---- clusters -----------------------------------------------------------------------------------------------------------
+SCALED_SQL = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0)::DOUBLE AS z_{c}"
+                       for c in CLUSTER_FEATURES)
+ZED = f""", zed AS (SELECT borrower_id, {SCALED_SQL} FROM fact WHERE
+ {" AND ".join(f"{c} IS NOT NULL" for c in CLUSTER_FEATURES)})"""
+fact("standardised", f"{ZED} SELECT borrower_id, {', '.join(f'{r(f'z_{c}')} AS z_{c}' for c in CLUSTER_FEATURES)} FROM zed")
+AWAY = " + ".join(f"(z_{c} - s) ^ 2" for c in CLUSTER_FEATURES)
+fact("cluster_iteration", f"""{ZED}, starts AS (SELECT * FROM (VALUES (0, -1.0::DOUBLE), (1, 0.0::DOUBLE), (2, 1.0::DOUBLE)) t(centre, s)),
+ nearest AS (SELECT * FROM zed, starts QUALIFY row_number() OVER (PARTITION BY borrower_id ORDER BY {AWAY}, centre) = 1)
+ SELECT starts.centre, count(borrower_id) AS n, {', '.join(f'{r(f'coalesce(avg(z_{c}), any_value(starts.s))')} AS z_{c}' for c in CLUSTER_FEATURES)}
+ FROM starts LEFT JOIN nearest USING (centre) GROUP BY starts.centre""")

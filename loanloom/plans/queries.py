@@ -333,4 +333,6 @@ def _fold_sizes(book):
         F.count("*").alias("n"), F.sum(F.col(K.KEY)).alias("key_sum"))
 
 
+_over("standardised", _fact, lambda df: clustering.standardised(df).select("borrower_id", *clustering.scaled_names()))
+_over("cluster_iteration", _fact, clustering.one_iteration)
 _over("borrower_clusters", _fact, clustering.borrower_segments)
