@@ -19,7 +19,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanloom.functions.columns import fixed_rows, unpivot_rows
+from loanloom.functions.columns import fixed_rows
+from loanloom.functions.selection import quantiles
 
 _RANGE = "_range"
 RANGES_PER_PARTITION = 2
@@ -106,40 +107,20 @@ def running_totals(df: DataFrame, key: str, values: Sequence[str], *, by: Sequen
 
 def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], *,
                     by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column ``q<i>`` per share.
+    """Exact quantiles with linear interpolation, one column ``q<i>`` per share."""
+    return quantiles(df.select(*by, F.col(column).alias("value")), by, shares)
 
-    Value counts are cumulated over ranges, so no task ever holds all values of a group.
-    """
-    by = list(by)
-    rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
-    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
-    placed = running_totals(counts, "_v", ["_n"], by=by, limits=range_limits(rows, "_v"))
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    if by:
-        both = placed.alias("l").join(sizes.alias("r"), _same(placed, sizes, by)).select("l.*", "r._size")
-    else:
-        both = placed.withColumn("_size", sizes.scalar())
-
-    def value_at(position: Column) -> Column:
-        inside = (F.col("_n_before") <= position) & (position < F.col("_n_before") + F.col("_n"))
-        return F.max(F.when(inside, F.col("_v")))
-
-    picks = []
-    for i, share in enumerate(shares):
-        place = F.lit(float(share)) * (F.col("_size") - 1)
-        picks += [value_at(F.floor(place)).alias(f"_lo{i}"), value_at(F.ceil(place)).alias(f"_hi{i}"),
-                  F.max(place - F.floor(place)).alias(f"_w{i}")]
-    picked = both.groupBy(*by).agg(*picks)
-    return picked.select(*by, *[
-        (F.col(f"_lo{i}") + F.col(f"_w{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}")
-        for i in range(len(shares))])
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], *, by: Sequence[str] = ()) -> DataFrame:
+    """The same for several columns in one plan: ``by``, ``column_name`` and the quantiles."""
+    long = df.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
+                                             for c in columns])))
+    return quantiles(long, [*by, "column_name"], shares)
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact median of each column, as plain numbers; all columns share one job."""
-    pairs = [(F.lit(c), F.col(c).cast("double")) for c in columns]
-    middle = exact_quantiles(unpivot_rows(df, ("name", "value"), pairs), "value", [0.5], by=["name"])
-    found = {row["name"]: row["q0"] for row in middle.collect()}
+    found = {row["column_name"]: row["q0"] for row in column_quantiles(df, columns, [0.5]).collect()}
     return {c: found.get(c) for c in columns}
 
 

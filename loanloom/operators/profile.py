@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loanloom import constants as K
 from loanloom.functions.columns import percent, unpivot_rows
-from loanloom.functions.ordered import exact_quantiles
+from loanloom.functions.ordered import column_quantiles
 from loanloom.functions.text import any_matches
 
 SAMPLE_LENGTH = 40
@@ -56,15 +56,22 @@ def preview(df: DataFrame, rows: int = 3) -> DataFrame:
     return df.limit(rows)
 
 
-def describe_by(df: DataFrame, group: str, column: str) -> DataFrame:
-    """Count, mean, deviation, range and exact quartiles of a column per group."""
-    value = F.col(column).cast("double")
-    basics = df.where(F.col(group).isNotNull()).groupBy(group).agg(
+def describe_all(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    """Per group and column: count, mean, deviation, range and exact quartiles, all columns in one plan."""
+    known = df.where(F.col(group).isNotNull())
+    long = known.select(group, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])))
+    value = F.col("value")
+    basics = long.groupBy(group, "column_name").agg(
         F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"))
-    quartiles = exact_quantiles(df.where(F.col(group).isNotNull()), column, [0.25, 0.5, 0.75], by=[group])
-    named = quartiles.withColumnsRenamed({"q0": "q25", "q1": "median", "q2": "q75"})
-    return basics.join(named, group, "left")
+    quartiles = column_quantiles(known, columns, [0.25, 0.5, 0.75], by=[group])
+    return basics.join(quartiles.withColumnsRenamed({"q0": "q25", "q1": "median", "q2": "q75"}), [group, "column_name"], "left")
+
+
+def describe_by(df: DataFrame, group: str, column: str) -> DataFrame:
+    """Count, mean, deviation, range and exact quartiles of a column per group."""
+    return describe_all(df, group, [column]).drop("column_name")
 
 
 def means_by(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:

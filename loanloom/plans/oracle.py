@@ -74,6 +74,11 @@ raw("median_fill", f"""SELECT PROSPECTID,
  {r('''coalesce(nullif(Age_Oldest_TL, -99999),
       (SELECT median(Age_Oldest_TL) FROM graded WHERE Total_TL > 0))''')} AS Age_Oldest_TL FROM graded""")
 
+GAPPY = {"CC_utilization": "CC_TL > 0", "PL_utilization": "PL_TL > 0", "Age_Oldest_TL": "Total_TL > 0", "Age_Newest_TL": "Total_TL > 0"}
+raw("median_fill_all", "SELECT PROSPECTID, " + ", ".join(
+    r(f"coalesce(nullif({c}, -99999), (SELECT median({c}) FROM graded WHERE {known}))") + f" AS {c}" for c, known in GAPPY.items())
+    + " FROM graded")
+
 # ---- star schema ----------------------------------------------------------------------------
 AGE_BAND = """CASE WHEN AGE >= 55 THEN '55_plus' WHEN AGE >= 45 THEN '45_to_54' WHEN AGE >= 35 THEN '35_to_44'
  WHEN AGE >= 25 THEN '25_to_34' ELSE 'under_25' END"""
@@ -272,6 +277,8 @@ def described(column):
 silver("describe_score_by_grade", described("Credit_Score"))
 silver("describe_income_by_grade", described("NETMONTHLYINCOME"))
 silver("describe_age_by_grade", described("AGE"))
+silver("describe_by_grade", " UNION ALL ".join(f"SELECT '{c}' AS column_name, * FROM ({described(c)})"
+                                               for c in ("Credit_Score", "NETMONTHLYINCOME", "AGE")))
 raw("grade_counts", "SELECT Approved_Flag, count(*) AS count FROM graded GROUP BY Approved_Flag")
 silver("grade_means", f"""SELECT Approved_Flag, {r('avg(num_times_delinquent)')} AS avg_num_times_delinquent,
  {r('avg(num_times_60p_dpd)')} AS avg_num_times_60p_dpd, {r('avg(Tot_Missed_Pmnt)')} AS avg_Tot_Missed_Pmnt

@@ -124,6 +124,10 @@ query("median_fill")(lambda book: fill_median(
                                 for c in ("CC_utilization", "Age_Oldest_TL")]),
     ["CC_utilization", "Age_Oldest_TL"]))
 
+GAPPY = ("CC_utilization", "PL_utilization", "Age_Oldest_TL", "Age_Newest_TL")
+query("median_fill_all")(lambda book: fill_median(
+    book.bank().select(K.KEY, *[F.nullif(F.col(c).cast("double"), F.lit(float(K.NOT_APPLICABLE))).alias(c) for c in GAPPY]), GAPPY))
+
 # ---- star schema -------------------------------------------------------------------------
 for _name in ("dim_borrower", "dim_credit", "dim_loan_portfolio", "fact_credit_risk"):
     query(_name)(lambda book, name=_name: book.gold(name))
@@ -168,6 +172,8 @@ _over("sample_scan", LoanBook.bank, lambda df: df.limit(5000).agg(F.count("*").a
 _over("describe_score_by_grade", _silver, lambda df: profile.describe_by(df, "Approved_Flag", "Credit_Score"))
 _over("describe_income_by_grade", _silver, lambda df: profile.describe_by(df, "Approved_Flag", "NETMONTHLYINCOME"))
 _over("describe_age_by_grade", _silver, lambda df: profile.describe_by(df, "Approved_Flag", "AGE"))
+_over("describe_by_grade", _silver, lambda df: profile.describe_all(
+    df, "Approved_Flag", ["Credit_Score", "NETMONTHLYINCOME", "AGE"]))
 _over("grade_counts", LoanBook.bureau, ingest.grade_distribution)
 _over("grade_means", _silver, lambda df: profile.means_by(
     df, "Approved_Flag", ["num_times_delinquent", "num_times_60p_dpd", "Tot_Missed_Pmnt"]))
