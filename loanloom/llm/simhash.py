@@ -12,20 +12,18 @@ one bit of theirs instead: two fingerprints within two bits meet in one of these
 meet are within two bits of each other, and each is linked to the smallest there. Both ways are
 exact, and neither forms the pairs of a large group.
 
-``near_duplicates`` finds documents of a Jaccard similarity of ``SIMILARITY`` over five-word
-shingles. That is up to about a fifth of the fingerprint's bits, too many for selective keys. So
-shingle hashes are mixed in several ways (``MIXERS``), each of which gives a fingerprint and a
-smallest hash of its own, and a key joins a Golay index of a segment to the smallest hash. A
-document is compared with the smallest of its bucket only (in an Arrow batch first, then the
-smallest of each batch with the smallest of all), by their bottom ``KEPT_HASHES`` hashes. These decide
-for documents with fewer shingles; pairs of larger ones that come near are verified on all hashes.
-
-These stars connect large groups of copies without forming their pairs, but a member whose centre is a
-stranger stays uncompared. So an exact search over all shingles follows (``_shared_pairs``): in the order
-of their frequency, rarest first, two sets of that similarity share a hash among the first fifth of each.
-Every pair with such a hash is compared unless it is connected already; only the preselection of large
-pairs, at five standard errors, leaves a chance. Hashes of one document alone meet
-nobody and only count, so a passage that many share is a key for documents with little else.
+``near_duplicates`` finds documents of a Jaccard similarity of ``SIMILARITY`` over five-word shingles. That
+is up to about a fifth of a fingerprint's bits, for which Golay keys find part of the pairs only; so this search
+goes over the shingle hashes. In any common order of the hashes two sets of that similarity share one
+among the first fifth of each. By value, that fifth makes the keys, and of a document that has such a partner
+about 0.8 of them recur: where less than 0.7 of them less four standard errors (``_least_shared``) do, it has none.
+That is the only place left to chance, one in a million for a pair at 0.8 and less above.
+Members of small buckets are paired; members of larger ones are compared
+with the smallest of the bucket, which connects groups of near copies at one comparison a member.
+Where a large bucket still holds documents that are not
+connected, its members are searched again in the order of frequency, rarest hash first
+(``_shared_pairs``): hashes of one document alone meet nobody and only count, so a passage that many
+share is a key for documents with little else. Every comparison is of whole sets.
 
 Defined results: text without words (or NULL) has fingerprint zero and an empty shingle set, equal
 to each other; texts with fewer words than a shingle are one shingle; repeated rows are documents
@@ -34,14 +32,14 @@ of their own; NULL ids come last. Only the named columns are read, others pass t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from loanloom.llm.common import fresh, forget, kept, numbered, release, ship
 from loanloom.llm.components import components
@@ -56,13 +54,6 @@ HASH_SLICES = 4
 # up to this size the members of a bucket are compared pair by pair
 PAIRED_BUCKET = 32
 SIMILARITY = 0.8
-KEPT_HASHES = 256
-# five standard errors of a similarity of 0.8 from that many hashes: what is further below is not verified
-SLACK = 0.125
-# tasks over which the rows of a bucket that are paired already are spread
-PARTS = 256
-# odd multipliers
-MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -161,100 +152,97 @@ def fingerprint_text(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def mixed(hashes: np.ndarray, mixer: int) -> np.ndarray:
-    """The same hashes as other ones, independent bit by bit."""
-    out = (hashes ^ hashes >> np.uint64(33)) * np.uint64(mixer)
-    return out ^ out >> np.uint64(29)
-
-
-def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """All columns but ``text``, with a fingerprint and a smallest hash per mixer, the bottom hashes and all distinct ones."""
+def _shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``row, doc_id, digest, size, keys``: 128 bits that stand for the set of hashes, its size, and its first hashes by value."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            prints, minima, bottoms, wholes = [], [], [], []
+            digests, sizes, keys = [], [], []
             for text in batch.column("text").to_pylist():
-                hashes = shingle_hashes(text, shingle)
-                ways = [mixed(hashes, m) for m in MIXERS] if len(hashes) else []
-                prints.append([majority(h) for h in ways])
-                minima.append([int(h.min().view(np.int64)) for h in ways])
-                bottoms.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))[:KEPT_HASHES])
-                wholes.append(np.unique(hashes.view(np.int64)))
-            rest = batch.drop_columns(["text"])
-            yield pa.RecordBatch.from_arrays(
-                [*rest.columns, *(pa.array(x, pa.list_(pa.int64())) for x in (prints, minima)), pa.array(bottoms, pa.list_(pa.int32())),
-                 pa.array(wholes, pa.list_(pa.int64()))],
-                [*rest.schema.names, "prints", "minima", "bottom", "hashes"])
+                hashes = np.unique(shingle_hashes(text, shingle).view(np.int64))
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                keys.append(hashes[:len(hashes) - math.ceil((similarity - 1e-9) * len(hashes)) + 1])
+            yield pa.RecordBatch.from_pydict({
+                "row": batch.column("row"), "doc_id": batch.column("doc_id"), "digest": pa.array(digests, pa.binary()),
+                "size": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
     ship(docs.sparkSession)
-    schema = docs.drop("text").schema
-    longs = ArrayType(LongType())
-    return docs.mapInArrow(add, schema.add("prints", longs).add("minima", longs).add("bottom", ArrayType(IntegerType())).add("hashes", longs))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("row", "doc_id", "text").mapInArrow(
+        add, f"row long, doc_id {kind}, digest binary, size int, keys array<long>")
+
 
+def _hash_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """Written: ``node, hashes`` of the ``wanted`` nodes, rows of ``texts``."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text, shingle).view(np.int64)) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "hashes": pa.array(sets, pa.list_(pa.int64()))})
+
+    some = texts.select(F.col("row").alias("node"), "text").join(wanted, "node", "left_semi")
+    return kept(some.mapInArrow(add, "node long, hashes array<long>"), "near-sets")
 
-def _similarity_keys(nodes: DataFrame) -> DataFrame:
-    """``key, node, root, centre``: per mixer the smallest hash with each Golay index of each segment; none for empty texts.
 
-    Of the nodes of a batch that share a key the smallest leads and has no ``centre``. It is the
-    ``centre`` of the others, and those that share its ``root`` are left out.
+def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Written: those of ``pairs(a, b)`` that are similar enough, by all hashes of both."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _hash_sets(texts, ends, shingle)
+    left = sets.select(F.col("node").alias("_a"), F.col("hashes").alias("hashes_a"))
+    right = sets.select(F.col("node").alias("_b"), F.col("hashes").alias("hashes_b"))
+    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    links = kept(pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+                 .where(common / (F.size("hashes_a") + F.size("hashes_b") - common) >= similarity).select("a", "b"), "near-links")
+    forget(sets)
+    release(texts.sparkSession)
+    return links
+
+
+def _least_shared(size: Column, similarity: float) -> Column:
+    """How many of a set's keys are keys of any set of that similarity, but for chance."""
+    keys = _prefix_length(size, similarity)
+    return F.greatest(F.lit(1.0), F.lit(similarity - 0.1) * keys - 4 * F.sqrt(F.lit(similarity * (1 - similarity)) * keys) - 1)
+
+
+def _members(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Written: ``key, node, size, least, hot`` with the number ``n`` and smallest node ``lo`` of the bucket.
+
+    Only nodes that can have a partner, and keys of more than one of them. ``hot``: how many keys the node has in
+    large buckets.
     """
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, root = (batch.column(c).to_numpy() for c in ("node", "root"))
-            prints, minima = (np.array(batch.column(c).to_pylist(), dtype=np.int64).reshape(-1, len(MIXERS)) for c in ("prints", "minima"))
-            for j in range(len(MIXERS)):
-                for i in range(len(SEGMENTS)):
-                    place, index = neighbour_keys(_segment(prints[:, j], i).astype(np.int64))
-                    key = mixed((minima[place, j] ^ (index << 8 | i << 4 | j)).view(np.uint64), MIXERS[0]).view(np.int64)
-                    order = np.lexsort((node[place], key))
-                    key, place = key[order], place[order]
-                    leads = np.r_[np.ones(min(len(key), 1), dtype=bool), key[1:] != key[:-1]]
-                    centre = place[np.maximum.accumulate(np.where(leads, np.arange(len(key)), 0))]
-                    stays = leads | (root[place] != root[centre])
-                    yield pa.RecordBatch.from_pydict({
-                        "key": key[stays], "node": node[place[stays]], "root": root[place[stays]],
-                        "centre": pa.array(node[centre[stays]], pa.int64(), mask=leads[stays])})
-
-    ship(nodes.sparkSession)
-    return (nodes.where(F.size("minima") > 0).select("node", "root", "prints", "minima")
-            .mapInArrow(keys, "key long, node long, root long, centre long"))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two sets of hashes from their smallest ones; exact where all are kept."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, KEPT_HASHES)
-    common = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(common / F.size(union))
-
-
-def _bucket_pairs(nodes: DataFrame) -> DataFrame:
-    """``a, b``: members of each bucket with a smallest one, but for those with the same ``root``.
-
-    Members are paired with the leader of their batch before anything is shuffled, and leaders with
-    the smallest of the bucket. A large group of near copies thus sends one row per batch and key
-    to a task; its other rows are spread by ``part``.
+    keys = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    shared = kept(keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key"), "near-shared")
+    recurring = kept(keys.join(shared, F.col("key") == F.col("_key")).select("key", "node", "size"), "near-keys")
+    release(nodes.sparkSession)
+    can = (recurring.groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("n"), F.first("size").alias("of"))
+           .withColumn("least", _least_shared(F.col("of"), similarity)).where(F.col("n") >= F.col("least")).select("_node", "least"))
+    able = kept(recurring.join(can, F.col("node") == F.col("_node")).select("key", "node", "size", "least"), "near-able")
+    buckets = able.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n"), F.min("node").alias("lo")).where("n > 1")
+    members = kept(able.join(buckets, F.col("key") == F.col("_key")).select("key", "node", "size", "least", "n", "lo"), "near-members")
+    forget(recurring)
+    forget(able)
+    hot = members.where(F.col("n") > PAIRED_BUCKET).groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("hot"))
+    return members.join(hot, F.col("node") == F.col("_node"), "left").withColumn("hot", F.coalesce("hot", F.lit(0))).drop("_node")
+
+
+def _bucket_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs of small buckets that share enough keys, and each member of a large one with the smallest.
+
+    Two nodes may share keys in large buckets as well, at most as many as either has there. A member of
+    several large buckets is compared with the smallest of all.
     """
-    part = F.when(F.col("centre").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
-    least = F.min(F.struct("node", "root")).over(Window.partitionBy("key", "part"))
-    return (_similarity_keys(nodes).withColumn("part", part).withColumn("least", least)
-            .where(F.col("centre").isNotNull() | (F.col("root") != F.col("least.root")))
-            .select(F.coalesce("centre", "least.node").alias("a"), F.col("node").alias("b")))
-
-
-def _alike(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are similar enough: by sketch where it has all hashes, else by all hashes."""
-    left = nodes.select(F.col("node").alias("_a"), F.col("bottom").alias("bottom_a"), F.col("row").alias("row_a"))
-    right = nodes.select(F.col("node").alias("_b"), F.col("bottom").alias("bottom_b"), F.col("row").alias("row_b"))
-    partial = F.greatest(F.size("bottom_a"), F.size("bottom_b")) >= KEPT_HASHES
-    near = kept(pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-                .withColumns({"partial": partial, "estimate": jaccard(F.col("bottom_a"), F.col("bottom_b"))})
-                .where(F.col("estimate") >= F.when(F.col("partial"), F.lit(similarity - SLACK)).otherwise(F.lit(similarity)))
-                .select("a", "b", "row_a", "row_b", "partial"), "near-candidates")
-    whole_a = sketches.select(F.col("row").alias("_row_a"), F.col("hashes").alias("hashes_a"))
-    whole_b = sketches.select(F.col("row").alias("_row_b"), F.col("hashes").alias("hashes_b"))
-    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    verified = (near.where("partial").join(whole_a, F.col("row_a") == F.col("_row_a")).join(whole_b, F.col("row_b") == F.col("_row_b"))
-                .where(common >= F.lit(similarity) * (F.size("hashes_a") + F.size("hashes_b") - common)))
-    return near.where("NOT partial").select("a", "b").unionByName(verified.select("a", "b"))
+    few = (members.where(F.col("n") <= PAIRED_BUCKET).groupBy("key")
+           .agg(F.array_sort(F.collect_list(F.struct("node", "size", "least", "hot"))).alias("m")))
+    pairs = (few.select("m", F.posexplode("m").alias("at", "x"))
+             .select("x", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("y"))
+             .where(F.least("x.size", "y.size") >= F.lit(similarity - 1e-9) * F.greatest("x.size", "y.size"))
+             .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+             .agg(F.count("*").alias("shared"), F.first(F.greatest("x.least", "y.least")).alias("least"),
+                  F.first(F.least("x.hot", "y.hot")).alias("hot"))
+             .where(F.col("shared") + F.col("hot") >= F.col("least")).select("a", "b"))
+    stars = members.where(F.col("n") > PAIRED_BUCKET).groupBy(F.col("node").alias("b")).agg(F.min("lo").alias("a"))
+    return pairs.unionByName(stars.where("a <> b").select("a", "b")).distinct()
 
 
 def _prefix_length(size: Column, similarity: float) -> Column:
@@ -264,21 +252,21 @@ def _prefix_length(size: Column, similarity: float) -> Column:
 
 
 def _shared_pairs(sketches: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: all pairs of nodes not connected yet that can be of that similarity."""
+    """``a, b``: all pairs of ``sketches(node, hashes)`` not connected yet that can be of that similarity."""
     # one slice of the hashes after the other, so that only a slice is on its way at a time
     slices = []
     for i in range(HASH_SLICES):
-        rows = sketches.select("row", F.explode(F.filter("hashes", lambda h: F.pmod(h, F.lit(HASH_SLICES)) == i)).alias("hash"))
+        rows = sketches.select("node", F.explode(F.filter("hashes", lambda h: F.pmod(h, F.lit(HASH_SLICES)) == i)).alias("hash"))
         common = kept(rows.groupBy(F.col("hash").alias("_hash")).agg(F.count("*").alias("n")).where("n > 1"), "near-common")
         release(sketches.sparkSession)
-        slices.append(kept(rows.join(common, F.col("hash") == F.col("_hash")).select("row", "n", "hash"), "near-shared"))
+        slices.append(kept(rows.join(common, F.col("hash") == F.col("_hash")).select("node", "n", "hash"), "near-shared"))
         release(sketches.sparkSession)
         forget(common)
-    sizes = sketches.select(F.col("row").alias("_row"), "node", F.size("hashes").alias("size"))
-    mine = (reduce(DataFrame.unionByName, slices).groupBy("row")
+    sizes = sketches.select(F.col("node").alias("_of"), F.size("hashes").alias("size"))
+    mine = (reduce(DataFrame.unionByName, slices).groupBy("node")
             .agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("shared")))
     alone = F.col("size") - F.size("shared")
-    firsts = (mine.join(sizes, F.col("row") == F.col("_row"))
+    firsts = (mine.join(sizes, F.col("node") == F.col("_of"))
               .withColumn("left", (_prefix_length(F.col("size"), similarity) - alone).cast("int")).where(F.col("left") > 0)
               .select("node", "size", F.explode(F.slice("shared", 1, F.col("left"))["hash"]).alias("key")).distinct())
     keys = kept(firsts.join(roots, F.col("node") == F.col("_node"), "left")
@@ -297,24 +285,27 @@ def _shared_pairs(sketches: DataFrame, roots: DataFrame, similarity: float) -> D
 
 def near_duplicates(rows: DataFrame, row: str, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``row, doc_id, group`` of every row; rows of near-duplicate documents share the group."""
-    sketches = kept(_sketches(rows.select("doc_id", F.col(row).alias("row"), "text"), shingle)
-                    .withColumn("node", F.xxhash64("hashes")), "near-sketches")
-    # of equal sets any fingerprints and bottom hashes do; the row is one that has the set
-    nodes = kept(sketches.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prints", "minima", "bottom")], F.min("row").alias("row")), "near-nodes")
-    first = _bucket_pairs(nodes.withColumn("root", F.col("node"))).groupBy("b").agg(F.min("a").alias("a"))
-    links = kept(_alike(first, nodes, sketches, similarity), "near-links")
-    roots = kept(components(links).withColumnRenamed("node", "_node"), "near-roots")
-    # links inside what is connected already tell nothing new
-    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
-    more = _alike(_bucket_pairs(rooted).distinct(), nodes, sketches, similarity)
-    links = kept(links.unionByName(more), "near-links")
+    texts = rows.select("doc_id", F.col(row).alias("row"), "text")
+    sets = kept(_shingle_sets(texts, shingle, similarity), "near-rows")
+    # equal sets are one node: the smallest row that has the set
+    nodes = kept(sets.groupBy("digest").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")), "near-nodes")
+    members = kept(_members(nodes, similarity), "near-members")
+    release(rows.sparkSession)
+    links = _alike(kept(_bucket_pairs(members, similarity), "near-pairs"), texts, shingle, similarity)
     roots = kept(components(links).withColumnRenamed("node", "_node"), "near-roots")
     release(rows.sparkSession)
-    # whom the stars left uncompared
-    rest = _alike(_shared_pairs(sketches, roots, similarity), nodes, sketches, similarity)
+    # large buckets in which not all are connected
+    large = (members.where(F.col("n") > PAIRED_BUCKET).join(roots, F.col("node") == F.col("_node"), "left")
+             .select("key", "node", F.coalesce("root", "node").alias("root")))
+    open_ = large.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    unsettled = kept(large.join(open_, "key", "left_semi").select("node").distinct(), "near-unsettled")
+    crowd = _hash_sets(texts, unsettled, shingle)
+    rest = _alike(kept(_shared_pairs(crowd, roots, similarity), "near-pairs"), texts, shingle, similarity)
+    forget(crowd)
     roots = kept(components(links.unionByName(rest)).withColumnRenamed("node", "_node"), "near-roots")
-    return (sketches.select("doc_id", "row", "node").join(roots, F.col("node") == F.col("_node"), "left")
-            .select("row", "doc_id", F.coalesce("root", "node").alias("group")))
+    named = nodes.select(F.col("digest").alias("_digest"), "node").join(roots, F.col("node") == F.col("_node"), "left")
+    groups = named.select("_digest", F.coalesce("root", "node").alias("group"))
+    return sets.select("doc_id", "row", "digest").join(groups, F.col("digest") == F.col("_digest")).select("row", "doc_id", "group")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:

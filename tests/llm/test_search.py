@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import public_tokenizers
 import xxhash
 from cases import lines
@@ -223,7 +224,11 @@ def test_near_duplicates_recall(documents):
     group = {r["row"]: r["group"] for r in simhash.near_duplicates(rows, "_row").collect()}
     sets = {r["doc_id"]: set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in documents.collect()}
     pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert pairs and sum(group[a] == group[b] for a, b in pairs) >= 0.95 * len(pairs)
+    assert pairs and all(group[a] == group[b] for a, b in pairs)
+    # and nobody is in a group without a link
+    linked = {x for pair in pairs for x in pair} | {i for i in sets if not sets[i]}
+    sizes = Counter(group.values())
+    assert all(sizes[group[i]] == 1 for i in sets if i not in linked)
 
 
 def test_one_of_each_group_stays(odd, nothing):
@@ -253,9 +258,12 @@ def test_long_pairs_are_verified_on_all_shingles(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     left = {r["doc_id"] for r in simhash.keep_one(rows).select("doc_id").collect()}
     assert all({2 * i, 2 * i + 1} <= left for i in range(40))
+    assert all(2 * i in left and 2 * i + 1 not in left for i in range(40, 80))
 
 
-def test_no_pair_is_lost_among_hot_passages(spark):
+@pytest.mark.parametrize("bucket", [2, simhash.PAIRED_BUCKET])
+def test_no_pair_is_lost_among_hot_passages(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "PAIRED_BUCKET", bucket)
     rng = random.Random(23)
     new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
     hot = [new(200) for _ in range(3)]
