@@ -18,10 +18,9 @@ goes over the shingle hashes. In any common order of the hashes two sets of that
 among the first fifth of each. By value, that fifth makes the keys, and of a document that has such a partner
 about 0.8 of them recur: where less than 0.7 of them less four standard errors (``_least_shared``) do, it has none.
 That is the only place left to chance, one in a million for a pair at 0.8 and less above.
-Members of small buckets are paired; members of larger ones are compared
-with the smallest of the bucket, which connects groups of near copies at one comparison a member.
-Where a large bucket still holds documents that are not
-connected, its members are searched again in the order of frequency, rarest hash first
+Every member of a bucket is compared with the smallest node it meets, which connects groups of near copies
+at one comparison a member. Of what is not connected then, members of small buckets are paired, and members
+of large ones are searched again in the order of frequency, rarest hash first
 (``_shared_pairs``): hashes of one document alone meet nobody and only count, so a passage that many
 share is a key for documents with little else. Every comparison is of whole sets.
 
@@ -226,23 +225,28 @@ def _members(nodes: DataFrame, similarity: float) -> DataFrame:
     return members.join(hot, F.col("node") == F.col("_node"), "left").withColumn("hot", F.coalesce("hot", F.lit(0))).drop("_node")
 
 
-def _bucket_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: pairs of small buckets that share enough keys, and each member of a large one with the smallest.
+def _stars(members: DataFrame) -> DataFrame:
+    """``a, b``: every member of a bucket with the smallest node of all its buckets."""
+    return members.groupBy(F.col("node").alias("b")).agg(F.min("lo").alias("a")).where("a <> b").select("a", "b")
 
-    Two nodes may share keys in large buckets as well, at most as many as either has there. A member of
-    several large buckets is compared with the smallest of all.
+
+def _bucket_pairs(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs of small buckets that are not connected yet and share enough keys.
+
+    Two nodes may share keys in large buckets as well, at most as many as either has there.
     """
-    few = (members.where(F.col("n") <= PAIRED_BUCKET).groupBy("key")
-           .agg(F.array_sort(F.collect_list(F.struct("node", "size", "least", "hot"))).alias("m")))
-    pairs = (few.select("m", F.posexplode("m").alias("at", "x"))
-             .select("x", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("y"))
-             .where(F.least("x.size", "y.size") >= F.lit(similarity - 1e-9) * F.greatest("x.size", "y.size"))
-             .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-             .agg(F.count("*").alias("shared"), F.first(F.greatest("x.least", "y.least")).alias("least"),
-                  F.first(F.least("x.hot", "y.hot")).alias("hot"))
-             .where(F.col("shared") + F.col("hot") >= F.col("least")).select("a", "b"))
-    stars = members.where(F.col("n") > PAIRED_BUCKET).groupBy(F.col("node").alias("b")).agg(F.min("lo").alias("a"))
-    return pairs.unionByName(stars.where("a <> b").select("a", "b")).distinct()
+    small = (members.where(F.col("n") <= PAIRED_BUCKET).join(roots, F.col("node") == F.col("_node"), "left")
+             .withColumn("root", F.coalesce("root", "node")))
+    few = (small.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "size", "least", "hot", "root"))).alias("m"),
+                                    F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"))
+    x, at = F.col("x"), F.col("at")
+    others = F.filter(F.slice("m", at + 2, F.size("m")), lambda y: (y["root"] != x["root"]) & (
+        F.least(x["size"], y["size"]) >= F.lit(similarity - 1e-9) * F.greatest(x["size"], y["size"])))
+    return (few.select("m", F.posexplode("m").alias("at", "x")).select("x", F.explode(others).alias("y"))
+            .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            .agg(F.count("*").alias("shared"), F.first(F.greatest("x.least", "y.least")).alias("least"),
+                 F.first(F.least("x.hot", "y.hot")).alias("hot"))
+            .where(F.col("shared") + F.col("hot") >= F.col("least")).select("a", "b"))
 
 
 def _prefix_length(size: Column, similarity: float) -> Column:
@@ -291,7 +295,10 @@ def near_duplicates(rows: DataFrame, row: str, shingle: int = 5, similarity: flo
     nodes = kept(sets.groupBy("digest").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")), "near-nodes")
     members = kept(_members(nodes, similarity), "near-members")
     release(rows.sparkSession)
-    links = _alike(kept(_bucket_pairs(members, similarity), "near-pairs"), texts, shingle, similarity)
+    links = _alike(kept(_stars(members), "near-pairs"), texts, shingle, similarity)
+    roots = kept(components(links).withColumnRenamed("node", "_node"), "near-roots")
+    more = _alike(kept(_bucket_pairs(members, roots, similarity), "near-pairs"), texts, shingle, similarity)
+    links = links.unionByName(more)
     roots = kept(components(links).withColumnRenamed("node", "_node"), "near-roots")
     release(rows.sparkSession)
     # large buckets in which not all are connected
