@@ -22,7 +22,7 @@ FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 # models are timed once, without a warm-up
-MODELS = ("gbt_metrics", "attributions", "borrower_clusters", "signal_p_values")
+MODELS = ("gbt_metrics", "attributions", "borrower_clusters")
 
 
 def session() -> SparkSession:

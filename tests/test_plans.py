@@ -72,7 +72,7 @@ def test_no_window_over_all_rows(spark, folder, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {
     "gbt_metrics", "gbt_scores", "cross_validation", "weight_sweep", "best_weight", "tuned_model", "model_comparison",
-    "attributions", "importance", "borrower_clusters", "signal_p_values", "signals_with_p_values", "ttest_gold_p_value"}))
+    "attributions", "importance", "borrower_clusters"}))
 def test_no_python_and_no_cross_joins(spark, folder, name):
     plan = plan_of(QUERIES[name](spark, folder))
     for forbidden in ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct",
