@@ -17,7 +17,7 @@ is up to about a fifth of a fingerprint's bits, for which Golay keys find part o
 goes over the shingle hashes. In any common order of the hashes two sets of that similarity share one
 among the first fifth of each. By value, that fifth makes the keys, and of a document that has such a partner
 about 0.8 of them recur: where less than 0.7 of them less four standard errors (``_least_shared``) do, it has none.
-That is the only place left to chance, one in a million for a pair at 0.8 and less above.
+That is the only place left to chance: a pair at 0.8 falls below it by more than four standard errors only.
 Every member of a bucket is compared with the smallest node it meets, which connects groups of near copies
 at one comparison a member. Of what is not connected then, members of small buckets are paired, and members
 of large ones are searched again in the order of frequency, rarest hash first
