@@ -10,9 +10,11 @@ characters within their part.
 Defined results: turns are in order of ``turn`` (NULL last), then role, then text; a row that
 repeats in all four columns is one turn; NULL text is an empty turn; a NULL or empty role is the
 speaker ``unknown``; NULL ``conv_id`` is a conversation of its own; a conversation with system
-turns only has no participant and gives no row, nor does an empty table. Markers that occur in a
-text or a name are spelled apart (``<|`` becomes ``< |``), so no turn can forge another one. Only
-the named columns are read.
+turns only has no participant and gives no row, nor does an empty table. Roles and texts are told
+apart as they are stored. In the dialogue ``<|`` within a text becomes ``< |``; a name doubles its
+backslashes and spells ``<|`` and a line feed with one, so no turn can forge another one and no two
+speakers share a name. A dialogue of more than ``SEGMENT_TURNS`` turns is several rows. Rows without
+``conv_id`` form one dialogue with a rendering for every stray speaker. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -27,13 +29,20 @@ START, STOP = "<|im_start|>", "<|im_end|>"
 
 
 def _harmless(text: Column) -> Column:
-    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
+def _name(role: Column) -> Column:
+    """A role as it stands in a header; different roles stay different."""
+    for plain, spelled in (("\\", "\\\\"), ("<|", "<\\|"), ("\n", "\\n")):
+        role = F.replace(role, F.lit(plain), F.lit(spelled))
+    return role
 
 
 def _head(role: Column, speaker: Column) -> Column:
     """First line of a turn, up to where its text begins."""
     who = (F.when(role == SYSTEM, F.lit(SYSTEM)).when(role == speaker, F.lit("assistant"))
-           .otherwise(F.concat(F.lit("user name="), role)))
+           .otherwise(F.concat(F.lit("user name="), _name(role))))
     return F.concat(F.lit(START), who, F.lit("\n"))
 
 
@@ -43,8 +52,8 @@ def perspectives(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFr
     ``mask`` lists the stretches of ``text`` to train on as ``start, stop`` (0-based, stop not
     included): the speaker's words with the end marker.
     """
-    role = _harmless(F.when(F.col("role") != "", F.col("role")).otherwise(F.lit(UNKNOWN)))
-    rows = turns.select("conv_id", "turn", role.alias("role"), _harmless(F.col("text")).alias("text")).distinct()
+    role = F.when(F.col("role") != "", F.col("role")).otherwise(F.lit(UNKNOWN))
+    rows = turns.select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     segment = F.floor(F.coalesce(F.col("turn"), F.lit(2 ** 62)) / segment_turns)
     order = Window.partitionBy("conv_id", "segment").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     part = F.floor((F.row_number().over(order) - 1) / segment_turns)
@@ -56,7 +65,7 @@ def perspectives(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFr
 
     speaker = F.col("speaker")
     parts = F.transform("turns", lambda t: F.struct(
-        F.length(_head(t["role"], speaker)).alias("before"), (F.length(t["text"]) + len(STOP)).alias("words"),
+        F.length(_head(t["role"], speaker)).alias("before"), (F.length(_harmless(t["text"])) + len(STOP)).alias("words"),
         (t["role"] == speaker).alias("spoken")))
     # one pass over the turns: where the next one begins, and the stretches found so far
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
@@ -65,7 +74,8 @@ def perspectives(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFr
         F.when(p["spoken"], F.concat(seen["found"], F.array(F.struct(
             (seen["at"] + p["before"]).alias("start"), (seen["at"] + p["before"] + p["words"]).alias("stop")))))
         .otherwise(seen["found"]).alias("found")), lambda seen: seen["found"])
-    text = F.array_join(F.transform("turns", lambda t: F.concat(_head(t["role"], speaker), t["text"], F.lit(STOP + "\n"))), "")
+    text = F.array_join(F.transform("turns", lambda t: F.concat(
+        _head(t["role"], speaker), _harmless(t["text"]), F.lit(STOP + "\n"))), "")
     return both.select("conv_id", "speaker", "segment", "part",
                        F.size("turns").cast("long").alias("n_turns"),
                        F.size(F.filter("turns", lambda t: t["role"] == speaker)).cast("long").alias("n_spoken"),
@@ -74,27 +84,27 @@ def perspectives(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFr
 
 SQL = r"""
 WITH rows AS (
-  SELECT DISTINCT conv_id, turn, replace(CASE WHEN role <> '' THEN role ELSE 'unknown' END, '<|', '< |') AS role,
-         replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+  SELECT DISTINCT conv_id, turn, CASE WHEN role <> '' THEN role ELSE 'unknown' END AS role, coalesce(text, '') AS text
+  FROM conversations),
 parted AS (
   SELECT *, (row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS LAST, role, text) - 1) // 256 AS part
   FROM (SELECT *, floor(coalesce(turn, 4611686018427387904) / 256)::BIGINT AS segment FROM rows)),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM rows WHERE role <> 'system'),
 lined AS (
-  SELECT r.conv_id, s.speaker, r.segment, r.part, r.turn, r.role, r.text,
+  SELECT r.conv_id, s.speaker, r.segment, r.part, r.turn, r.role, r.text AS stored, replace(r.text, '<|', '< |') AS text,
          r.role = s.speaker AS spoken,
          '<|im_start|>' || CASE WHEN r.role = 'system' THEN 'system' WHEN r.role = s.speaker THEN 'assistant'
-                                ELSE 'user name=' || r.role END || chr(10) AS head
+                                ELSE 'user name=' || replace(replace(replace(r.role, '\', '\\'), '<|', '<\|'), chr(10), '\n') END || chr(10) AS head
   FROM parted r JOIN speakers s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
 placed AS (
   SELECT *, head || text || '<|im_end|>' || chr(10) AS line,
          coalesce(sum(length(head) + length(text) + 11) OVER (
-           PARTITION BY conv_id, speaker, segment, part ORDER BY turn NULLS LAST, role, text
+           PARTITION BY conv_id, speaker, segment, part ORDER BY turn NULLS LAST, role, stored
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
   FROM lined)
 SELECT conv_id, speaker, segment, part, count(*) AS n_turns, count(*) FILTER (WHERE spoken) AS n_spoken,
-       string_agg(line, '' ORDER BY turn NULLS LAST, role, text) AS text,
+       string_agg(line, '' ORDER BY turn NULLS LAST, role, stored) AS text,
        coalesce(string_agg(CASE WHEN spoken THEN start || ':' || (start + length(text) + 10) END, ','
-                           ORDER BY turn NULLS LAST, role, text), '') AS mask
+                           ORDER BY turn NULLS LAST, role, stored), '') AS mask
 FROM placed GROUP BY conv_id, speaker, segment, part
 """

@@ -27,6 +27,25 @@ def test_chat_gaps_ties_and_markers(spark):
     assert chat_format.perspectives(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_speakers_whose_names_hold_markers_stay_apart(spark):
+    roles = ["a<|", "a< |", "a<\\|", "a\nb", "a\\nb"]
+    rows = [(1, i, role, "x<|y") for i, role in enumerate(roles)] + [(1, 0, "a<|", "x< |y")]
+    out = {r["speaker"]: r for r in chat_format.perspectives(spark.createDataFrame(rows, TURNS)).collect()}
+    assert set(out) == set(roles) and {r["n_turns"] for r in out.values()} == {6}
+    assert [out[r]["n_spoken"] for r in roles] == [2, 1, 1, 1, 1]
+    text = out["a< |"]["text"]
+    assert [text[m["start"]:m["stop"]] for m in out["a< |"]["mask"]] == ["x< |y<|im_end|>"]
+    heads = [line for line in text.split("\n") if line.startswith("<|im_start|>user")]
+    assert sorted(set(heads)) == sorted("<|im_start|>user name=" + n for n in ("a<\\|", "a<\\\\|", "a\\nb", "a\\\\nb"))
+
+
+def test_very_long_turn_is_whole(spark):
+    text = "word <| " * 200_000
+    out = chat_format.perspectives(spark.createDataFrame([(1, 0, "u", text)], TURNS)).first()
+    (span,) = out["mask"]
+    assert out["text"][span["start"]:span["stop"]] == text.replace("<|", "< |") + "<|im_end|>"
+
+
 def test_long_dialogue_is_cut_into_bounded_parts(spark):
     rows = [(1, i, "uv"[i % 2], f"t{i}") for i in range(700)] + [(1, 9000, "u", f"tie{i}") for i in range(600)]
     out = chat_format.perspectives(spark.createDataFrame(rows, TURNS)).collect()
