@@ -5,20 +5,37 @@ from cases import lines, prose
 from loanloom.llm import line_dedup, mixing, quality
 
 
-def brute_lines(rows, window=3, long_line=50):
-    """Texts after deletion of later windows, rows in the order given."""
+def brute_lines(rows, min_lines=3, min_words=50):
+    """Texts without the runs that occurred before, rows in the order given."""
     seen, out = set(), []
     for text in rows:
         all_lines = text.split("\n")
-        idx = [i for i, line in enumerate(all_lines) if line.split()]
-        spans = [(idx[i], idx[i + window - 1], tuple(all_lines[j].strip() for j in idx[i:i + window])) for i in range(len(idx) - window + 1)]
-        spans += [(i, i, (all_lines[i].strip(),)) for i in idx if len(all_lines[i].split()) >= long_line]
-        gone = set()
-        for a, b, content in sorted(spans):
-            if content in seen:
-                gone |= set(range(a, b + 1))
-            seen.add(content)
-        out.append("\n".join(line for i, line in enumerate(all_lines) if i not in gone))
+        worded = [(i, line.strip()) for i, line in enumerate(all_lines) if line.split()]
+        bare = [line for _, line in worded]
+        # line numbers among the worded ones of repeated stretches
+        old, gone = [], set()
+        for i, line in enumerate(bare):
+            if len(line.split()) >= min_words:
+                gone |= {i} if ("line", line) in seen else set()
+                seen.add(("line", line))
+            old.append(i + 1 < len(bare) and (line, bare[i + 1]) in seen)
+            seen.add((line, bare[i + 1]) if i + 1 < len(bare) else None)
+        for i in range(len(old)):
+            for j in range(i, len(old)):
+                if not old[j]:
+                    break
+                if j - i + 2 >= min_lines or sum(len(x.split()) for x in bare[i:j + 2]) >= min_words:
+                    gone |= set(range(i, j + 2))
+        if 0 < len(bare) < min_lines:
+            gone |= set(range(len(bare))) if ("document", *bare) in seen else set()
+            seen.add(("document", *bare))
+        cut = sorted(gone)
+        numbers = {worded[i][0] for i in cut}
+        # blank lines between two deleted neighbours go with them, if one run covers both
+        for i, j in zip(cut, cut[1:], strict=False):
+            if j == i + 1 and old[i]:
+                numbers |= set(range(worded[i][0], worded[j][0]))
+        out.append("\n".join(line for i, line in enumerate(all_lines) if i not in numbers))
     return out
 
 
@@ -27,11 +44,22 @@ def test_runs_against_brute_force(spark):
     long_line = " ".join(prose(5, 60))
     texts = [lines(1, 5) + "\n" + shared, boiler + "\n" + shared + "\n" + lines(2, 5), lines(3, 4) + "\n" + boiler, lines(3, 2) + "\n\n" + lines(3, 4),
              long_line, "intro\n" + long_line + "\nend", shared, "\n".join(shared.split("\n")[1:4]), "a\n\nb\n \nc", "x\na\nb\nc\ny", "r\n" * 12]
+    two, one = "\n".join(" ".join(prose(70 + i, 26)) for i in range(2)), " ".join(prose(80, 12))
+    texts += [lines(21, 3) + "\n" + two, two + "\n" + lines(22, 3), two.replace("\n", "\n \n"), one, one + "\n", one + "\n" + lines(23, 3),
+              one + "\nsee below", one + "\n\nsee below ", boiler, "cookies\nprivacy\nterms", lines(24, 2) + "\n" + boiler]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     out = dict((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect())
     assert [out[i] for i in range(len(texts))] == brute_lines(texts)
 
 
+def test_short_runs_and_short_copies_go(spark):
+    two, one = "\n".join(" ".join(prose(70 + i, 26)) for i in range(2)), " ".join(prose(80, 12))
+    texts = [lines(1, 4) + "\n" + two, two + "\n" + lines(2, 4), one, one, lines(3, 3) + "\ncookies\nprivacy", lines(4, 3) + "\ncookies\nprivacy"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = dict((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect())
+    assert [out[i] for i in range(6)] == [texts[0], lines(2, 4), one, "", texts[4], texts[5]]
+
+
 def test_odd_documents_pass_line_dedup(odd, nothing):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
