@@ -2,9 +2,11 @@
 
 Listed rules name a host and a path; the longest one that fits decides. All other URLs are judged
 by association rules: frequent-pattern mining over the tokens of labelled pages finds combinations
-that occur often enough (support) and are bad often enough (confidence), of any length. Those of more
-than ``LISTED_TOKENS`` tokens count only if no rule is inside them: any page they fit is blocked by that
-rule already, so the verdict is that of all of them. Combinations are matched
+that occur often enough (support) and are bad often enough (confidence), of any length. Only minimal
+rules count, those with no other rule inside: any page a longer one fits is blocked already. So tokens
+that occur on just the same labelled pages (the words of a URL template) are one class, mined as one
+item and present on a page with any of them; classes that are rules alone, and those on all labelled
+pages, are left out of the mining, as no longer minimal rule holds them. Combinations are matched
 through an inverted index that files each one under its rarest token, so tokens that every URL has
 lead to few candidates.
 
@@ -16,6 +18,7 @@ the method allows everything. Only the named columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -29,8 +32,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "label=bad"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
-# up to this length rules are kept and counted even if a shorter one is inside them
-LISTED_TOKENS = 3
+
+
+class Mined(NamedTuple):
+    """``rules``: ``tokens, support, confidence``, a class of tokens named by its first one.
+    ``members``: ``token, name``, the class of every token that occurs in a rule."""
+
+    rules: DataFrame
+    members: DataFrame
 
 
 class ListedRule(NamedTuple):
@@ -84,20 +93,46 @@ def bad_pages(labels: DataFrame) -> DataFrame:
     return known.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.coalesce(bad, F.lit(False))).alias("bad"))
 
 
+def _classes(transactions: DataFrame) -> DataFrame:
+    """``token, name, pages, bad``: tokens on the same labelled pages share a name.
+
+    Compared are the distinct token lists that hold a token: their number and 128 bits.
+    """
+    lists = transactions.groupBy("items").agg(F.count("*").alias("pages"), F.count_if("bad").alias("bad"))
+    held = (lists.select("pages", "bad", F.xxhash64("items").alias("h"), F.xxhash64(F.lit(1), "items").alias("g"),
+                         F.explode("items").alias("token"))
+            .groupBy("token").agg(F.sum("pages").alias("pages"), F.sum("bad").alias("bad"), F.count("*").alias("lists"),
+                                  F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g")))
+    names = held.groupBy("lists", "h", "g").agg(F.min("token").alias("name"))
+    return held.join(names, ["lists", "h", "g"]).select("token", "name", "pages", "bad")
+
+
 def mined_rules(pages: DataFrame, labels: DataFrame, *, min_support: float = MIN_SUPPORT,
-                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Token combinations that speak against a page: ``tokens, support, confidence``.
+                min_confidence: float = MIN_CONFIDENCE) -> Mined:
+    """Minimal token combinations that speak against a page.
 
     ``support`` is the share of labelled pages that have the combination and are bad. The number
     of rules depends on the thresholds, not on the number of pages.
     """
-    transactions = (pages.where("page_id IS NOT NULL").select("page_id", url_tokens(F.col("url")).alias("items"))
-                    .join(bad_pages(labels), "page_id")
-                    .select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(transactions)
-    rules = kept(model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
-                 .select(F.array_sort("antecedent").alias("tokens"), "support", "confidence"), "url-rules")
-    return _without_redundant(rules)
+    transactions = kept(pages.where("page_id IS NOT NULL")
+                        .select("page_id", F.array_sort(url_tokens(F.col("url"))).alias("items"))
+                        .join(bad_pages(labels), "page_id")
+                        .select(F.monotonically_increasing_id().alias("id"), "items", "bad"), "url-labelled")
+    total = transactions.count()
+    often = F.col("bad") >= max(1, math.ceil(min_support * total))
+    classes = kept(_classes(transactions).where(often).withColumn("confidence", F.col("bad") / F.col("pages")), "url-classes")
+    alone = (classes.where(F.col("confidence") >= min_confidence)
+             .select(F.array("name").alias("tokens"), (F.col("bad") / F.lit(float(max(1, total)))).alias("support"), "confidence").distinct())
+    joined = classes.where((F.col("confidence") < min_confidence) & (F.col("pages") < total)).select("token", "name")
+    items = (transactions.select("id", "bad", F.explode_outer("items").alias("token")).join(joined, "token", "left")
+             .groupBy("id").agg(F.collect_set("name").alias("items"), F.max("bad").alias("bad"))
+             .select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    longer = kept(model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
+                  .select(F.array_sort("antecedent").alias("tokens"), "support", "confidence"), "url-rules")
+    rules = kept(alone.union(_minimal(longer)), "url-minimal")
+    used = rules.select(F.explode("tokens").alias("name")).distinct()
+    return Mined(rules, classes.select("token", "name").join(used, "name", "left_semi"))
 
 
 def _filed(rules: DataFrame, uses: DataFrame) -> DataFrame:
@@ -107,10 +142,9 @@ def _filed(rules: DataFrame, uses: DataFrame) -> DataFrame:
             .agg(F.min(F.struct("uses", "token")).getField("token").alias("token")))
 
 
-def _without_redundant(rules: DataFrame) -> DataFrame:
-    """All rules but the long ones with another rule inside."""
-    long = rules.where(F.size("tokens") > LISTED_TOKENS)
-    spread = long.select(F.col("tokens").alias("_long"), F.explode("tokens").alias("token"))
+def _minimal(rules: DataFrame) -> DataFrame:
+    """All rules but those with another rule inside."""
+    spread = rules.select(F.col("tokens").alias("_long"), F.explode("tokens").alias("token"))
     index = _filed(rules, spread.groupBy("token").agg(F.count("*").alias("uses")))
     redundant = (spread.join(index, "token")
                  .where((F.size("tokens") < F.size("_long")) & (F.size(F.array_except("tokens", "_long")) == 0))
@@ -118,13 +152,17 @@ def _without_redundant(rules: DataFrame) -> DataFrame:
     return rules.join(redundant, F.col("tokens") == F.col("_long"), "left_anti")
 
 
-def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pages that some combination fits: ``page_id, url, n_rules, confidence`` (the highest)."""
-    urls = pages.select("url").distinct().where("url IS NOT NULL").withColumn("items", url_tokens(F.col("url")))
-    uses = urls.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
-    index = _filed(rules, uses)
-    found = (urls.select("url", "items", F.explode("items").alias("token")).join(index, "token")
-             .where(F.size(F.array_except("tokens", "items")) == 0))
+def match_rules(pages: DataFrame, mined: Mined) -> DataFrame:
+    """Pages that some combination fits: ``url, n_rules, confidence`` (the highest).
+
+    ``n_rules`` counts minimal rules; those that differ only within classes of tokens are one.
+    """
+    urls = pages.select("url").distinct().where("url IS NOT NULL")
+    owned = (urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token")).join(mined.members, "token")
+             .groupBy("url").agg(F.collect_set("name").alias("items")))
+    listed = owned.select("url", "items", F.explode("items").alias("token"))
+    index = _filed(mined.rules, listed.groupBy("token").agg(F.count("*").alias("uses")))
+    found = listed.join(index, "token").where(F.size(F.array_except("tokens", "items")) == 0)
     return found.groupBy("url").agg(F.count("*").alias("n_rules"), F.max("confidence").alias("confidence"))
 
 
@@ -163,19 +201,29 @@ bad AS (
 known AS (SELECT p.page_id, p.url, b.bad FROM (SELECT DISTINCT page_id, url FROM pages) p JOIN bad b USING (page_id)),
 seen AS (SELECT t.page_id, t.url, t.token, k.bad FROM tokens t JOIN known k ON t.page_id = k.page_id AND t.url = k.url),
 size AS (SELECT ceil(0.002 * (SELECT count(*) FROM pages JOIN bad USING (page_id))) AS least),
+class AS (
+  SELECT token, min(token) OVER (PARTITION BY places) AS item
+  FROM (SELECT token, list({'page': page_id, 'url': url} ORDER BY page_id, url) AS places FROM seen GROUP BY token)),
+held AS (SELECT DISTINCT page_id, url, item, bad FROM seen JOIN class USING (token)),
 sets AS (
-  SELECT [token] AS items, bad FROM seen
+  SELECT [item] AS items, bad FROM held
   UNION ALL
-  SELECT [a.token, b.token], a.bad FROM seen a JOIN seen b ON a.page_id = b.page_id AND a.url = b.url AND a.token < b.token
+  SELECT [a.item, b.item], a.bad FROM held a JOIN held b ON a.page_id = b.page_id AND a.url = b.url AND a.item < b.item
   UNION ALL
-  SELECT [a.token, b.token, c.token], a.bad FROM seen a
-  JOIN seen b ON a.page_id = b.page_id AND a.url = b.url AND a.token < b.token
-  JOIN seen c ON a.page_id = c.page_id AND a.url = c.url AND b.token < c.token),
-rules AS (
+  SELECT [a.item, b.item, c.item], a.bad FROM held a
+  JOIN held b ON a.page_id = b.page_id AND a.url = b.url AND a.item < b.item
+  JOIN held c ON a.page_id = c.page_id AND a.url = c.url AND b.item < c.item),
+all_rules AS (
   SELECT items, count(*) FILTER (WHERE bad)::DOUBLE / count(*)::DOUBLE AS confidence FROM sets GROUP BY items
   HAVING count(*) FILTER (WHERE bad) >= (SELECT least FROM size) AND count(*) FILTER (WHERE bad) > 0
      AND count(*) FILTER (WHERE bad)::DOUBLE / count(*)::DOUBLE >= 0.6),
-urls AS (SELECT url, list(DISTINCT token) AS owned FROM tokens GROUP BY url),
+inner_sets AS (
+  SELECT items, unnest([[items[1]], [items[2]], [items[3]], [items[1], items[2]], [items[1], items[3]], [items[2], items[3]]]) AS part
+  FROM all_rules WHERE len(items) > 1),
+rules AS (
+  SELECT * FROM all_rules WHERE items NOT IN (
+    SELECT i.items FROM inner_sets i JOIN all_rules r ON i.part = r.items WHERE i.part <> i.items)),
+urls AS (SELECT url, list(DISTINCT item) AS owned FROM tokens JOIN class USING (token) GROUP BY url),
 matched AS (
   SELECT u.url, count(*) AS n_rules, max(r.confidence) AS confidence
   FROM urls u JOIN rules r ON list_contains(u.owned, r.items[1]) AND list_has_all(u.owned, r.items) GROUP BY u.url),

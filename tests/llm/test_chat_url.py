@@ -78,7 +78,7 @@ def test_mined_combination_blocks(spark):
     bad = [(i, 0 if i % 4 == 1 else 1, 0) for i in range(60)] + [(60, None, None), (None, 0, 1)]
     labels = spark.createDataFrame(bad, "doc_id long, quality int, toxic int")
     frame = pages(spark, urls)
-    rules = {tuple(r["tokens"]) for r in url_filter.mined_rules(frame, labels, min_support=0.1, min_confidence=0.9).collect()}
+    rules = {tuple(r["tokens"]) for r in url_filter.mined_rules(frame, labels, min_support=0.1, min_confidence=0.9).rules.collect()}
     assert ("w=cheap", "w=pills") in rules and ("w=cheap",) not in rules
     out = url_filter.judge_urls(frame, labels, RULES, min_support=0.1, min_confidence=0.9).collect()
     assert all((r["verdict"] == "block") == (r["page_id"] % 4 == 1) for r in out)
@@ -98,8 +98,31 @@ def test_combination_of_four_tokens_blocks(spark):
             fits = [b for s, b in zip(items, bad, strict=True) if rule <= s]
             if sum(fits) >= 0.05 * len(chosen) and sum(fits) >= 0.6 * len(fits):
                 brute.add(rule)
-    rules = {frozenset(r["tokens"]) for r in url_filter.mined_rules(frame, labels, min_support=0.05).collect()}
-    assert rules == {r for r in brute if len(r) <= 3 or not any(other < r for other in brute)} and max(map(len, rules)) == 4
+    rules = {frozenset(r["tokens"]) for r in url_filter.mined_rules(frame, labels, min_support=0.05).rules.collect()}
+    assert rules == {r for r in brute if not any(other < r for other in brute)} and max(map(len, rules)) == 4
     out = url_filter.judge_urls(frame, labels, (), min_support=0.05).collect()
     assert all((r["verdict"] == "block") == any(rule <= items[r["page_id"]] for rule in brute) for r in out)
     assert sum(r["verdict"] == "block" for r in out) == 5
+
+
+def test_templates_do_not_multiply_rules(spark):
+    everywhere = "/".join(f"all{i}" for i in [chr(97 + k) * 2 for k in range(20)])
+    shared = "/".join(f"tpl{chr(97 + k)}" for k in range(20))
+    urls = [f"http://h.org/{everywhere}/" + (f"{shared}/" if i % 3 == 0 else "") + ("pills" if i % 2 else "bread") for i in range(60)]
+    frame = pages(spark, [*urls, "http://other.net/tplb/pills", "http://other.net/tplb", "http://other.net/pills"])
+    labels = spark.createDataFrame([(i, 0 if i % 6 == 3 else 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    mined = url_filter.mined_rules(frame, labels, min_support=0.05)
+    assert [r["tokens"] for r in mined.rules.collect()] == [["w=pills", "w=tpla"]]
+    out = {r["page_id"]: r for r in url_filter.judge_urls(frame, labels, (), min_support=0.05).collect()}
+    assert {i for i, r in out.items() if r["verdict"] == "block"} == {*range(3, 60, 6), 60}
+    assert {r["n_rules"] for r in out.values()} == {0, 1}
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    urls = [f"http://h.org/{'pills' if i % 2 else 'bread'}" for i in range(20)]
+    frame = pages(spark, [*urls, None]).withColumns({c: F.lit("x") for c in ("items", "token", "bad", "name", "host", "path", "tokens", "id")})
+    labels = spark.createDataFrame([(i, (i + 1) % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").withColumn("page_id", F.lit(0))
+    out = url_filter.judge_urls(frame.union(frame.where("page_id < 4")), labels, ()).collect()
+    assert len(out) == 25 and all((r["verdict"] == "block") == bool(r["url"] and "pills" in r["url"]) for r in out)
+    assert url_filter.judge_urls(frame, labels.limit(0), ()).where("verdict = 'block'").count() == 0
+    assert url_filter.judge_urls(frame.limit(0), labels, ()).count() == 0
