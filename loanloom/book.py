@@ -6,8 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loanloom.constants import KEY
 from loanloom.operators import gold, scoring, silver
 from loanloom.sources import borrowers
 
@@ -90,3 +92,21 @@ class LoanBook:
             _written[slot] = (path, layer_rows.schema)
         path, schema = _written[slot]
         return spark.read.schema(schema).parquet(path)
+
+
+class GappyBook(LoanBook):
+    """The same book with values missing from the source files, as real files have them.
+
+    Which borrowers lack a value depends on their key alone, so layers and checks agree on it.
+    """
+
+    # column: (every so many keys, remainder of those without a value)
+    GAPS = {"NETMONTHLYINCOME": (7, 3), "AGE": (11, 5), "EDUCATION": (13, 1), "MARITALSTATUS": (17, 2), "Gold_TL": (19, 4),
+            "CC_utilization": (5, 2), "Time_With_Curr_Empr": (23, 6)}
+
+    def raw(self) -> DataFrame:
+        return super().raw().withColumns({c: F.when(F.col(KEY) % every != rest, F.col(c))
+                                          for c, (every, rest) in self.GAPS.items()})
+
+    def silver(self) -> DataFrame:
+        return self._once("silver-gappy", lambda: silver.silver_master(self.bank(), self.bureau()))

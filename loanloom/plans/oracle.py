@@ -722,3 +722,23 @@ fact("cluster_iteration", f"""{ZED}, starts AS (SELECT * FROM (VALUES (0, -1.0::
  nearest AS (SELECT * FROM zed, starts QUALIFY row_number() OVER (PARTITION BY borrower_id ORDER BY {AWAY}, centre) = 1)
  SELECT starts.centre, count(borrower_id) AS n, {', '.join(f'{r(f'coalesce(avg(z_{c}), any_value(starts.s))')} AS z_{c}' for c in CLUSTER_FEATURES)}
  FROM starts LEFT JOIN nearest USING (centre) GROUP BY starts.centre""")
+
+# ---- books with gaps ------------------------------------------------------------------------------------------
+GAPS = {"NETMONTHLYINCOME": "PROSPECTID % 7 = 3", "AGE": "PROSPECTID % 11 = 5", "EDUCATION": "PROSPECTID % 13 = 1",
+        "MARITALSTATUS": "PROSPECTID % 17 = 2", "Gold_TL": "PROSPECTID % 19 = 4", "CC_utilization": "PROSPECTID % 5 = 2",
+        "Time_With_Curr_Empr": "PROSPECTID % 23 = 6"}
+HOLED = ", ".join(f"CASE WHEN {lost} THEN NULL ELSE {c} END AS {c}" for c, lost in GAPS.items())
+# what a missing value means: exposures take the median income, policy rules an income of 0, an unknown utilisation is a card
+MEANT = (("AS Approved_Flag FROM raw)", f"AS Approved_Flag FROM (SELECT * REPLACE ({HOLED}) FROM raw))"),
+         ("(CC_utilization <> -99999)", "(CC_utilization IS DISTINCT FROM -99999)"),
+         ("NETMONTHLYINCOME * 12", "coalesce(NETMONTHLYINCOME, (SELECT median(NETMONTHLYINCOME) FROM scored)) * 12"),
+         ("AND NETMONTHLYINCOME >= ", "AND coalesce(NETMONTHLYINCOME, 0) >= "))
+for _name in ("silver_features", "clean_categories", "quality_checks", "default_by_segment", "income_vs_default", "gold_loan_buckets",
+              "early_intervention", "risk_by_age", "risk_by_education", "risky_vs_safe", "early_warning_signals", "describe_income_by_grade",
+              "column_profile", "portfolio_summary", "headline_kpis", "segment_rates_age", "segment_rates_income",
+              "segment_contribution_age", "segment_contribution_income", "expected_loss_by_segment", "expected_loss_by_age",
+              "export_bands", "reason_codes", "policy_simulation", "policy_vs_baseline", "policy_comparison", "policy_before_after"):
+    _sql = ORACLE[_name]
+    for _plain, _said in MEANT:
+        _sql = _sql.replace(_plain, _said)
+    ORACLE[f"{_name}_gappy"] = _sql

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanloom import constants as K
-from loanloom.book import LoanBook
+from loanloom.book import GappyBook, LoanBook
 from loanloom.functions.ordered import fill_median
 from loanloom.functions.rounding import settle
 from loanloom.operators import (clustering, explain, export, gold, modelling, policy, portfolio,
@@ -19,6 +19,8 @@ from loanloom.sources.tables import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
+# what each query does with a book, whichever it is
+_builds: dict[str, Callable[[LoanBook], DataFrame]] = {}
 
 # fits of the application, the oldest of which give way
 KEPT_FITS = 8
@@ -28,6 +30,7 @@ _fits: dict[tuple, object] = {}
 def query(name: str):
     """Register a function of a loan book; floating columns are settled to six digits."""
     def add(build: Callable[[LoanBook], DataFrame]):
+        _builds[name] = build
         QUERIES[name] = lambda spark, folder: settle(build(LoanBook(spark, folder)))
         return build
     return add
@@ -342,3 +345,13 @@ def _fold_sizes(book):
 _over("standardised", _fact, lambda df: clustering.standardised(df).select("borrower_id", *clustering.scaled_names()))
 _over("cluster_iteration", _fact, clustering.one_iteration)
 _over("borrower_clusters", _fact, clustering.borrower_segments)
+
+# ---- books with gaps: the same operators where incomes, ages, labels, loan counts or utilisation are missing ----
+GAPPY_QUERIES = (
+    "silver_features", "clean_categories", "quality_checks", "default_by_segment", "income_vs_default", "gold_loan_buckets",
+    "early_intervention", "risk_by_age", "risk_by_education", "risky_vs_safe", "early_warning_signals", "describe_income_by_grade",
+    "column_profile", "portfolio_summary", "headline_kpis", "segment_rates_age", "segment_rates_income", "segment_contribution_age",
+    "segment_contribution_income", "expected_loss_by_segment", "expected_loss_by_age", "export_bands", "reason_codes",
+    "policy_simulation", "policy_vs_baseline", "policy_comparison", "policy_before_after")
+for _name in GAPPY_QUERIES:
+    QUERIES[f"{_name}_gappy"] = lambda spark, folder, build=_builds[_name]: settle(build(GappyBook(spark, folder)))
