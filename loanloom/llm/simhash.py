@@ -18,11 +18,12 @@ goes over the shingle hashes. In any common order of the hashes two sets of that
 among the first fifth of each. By value, that fifth makes the keys, and of a document that has such a partner
 about 0.8 of them recur: where less than 0.7 of them less four standard errors (``_least_shared``) do, it has none.
 That is the only place left to chance: a pair at 0.8 falls below it by more than four standard errors only.
-Every member of a bucket is compared with the smallest node it meets, which connects groups of near copies
-at one comparison a member. Of what is not connected then, members of small buckets are paired, and members
-of large ones are searched again in the order of frequency, rarest hash first
-(``_shared_pairs``): hashes of one document alone meet nobody and only count, so a passage that many
-share is a key for documents with little else. Every comparison is of whole sets.
+Every member of a bucket is compared with the smallest node it meets, its centre, which connects groups of near
+copies at one comparison a member. Of what is not connected then, members of small buckets are paired, and
+members of large ones are searched again: those of one centre by the hashes in which they differ from it
+(``_twin_pairs``), those of different centres by their own hashes (``_shared_pairs``), rarest hash first.
+Hashes that no other has meet nobody and only count, so a passage that many share is a key for documents with little
+else. Every comparison is of whole sets.
 
 Defined results: text without words (or NULL) has fingerprint zero and an empty shingle set, equal
 to each other; texts with fewer words than a shingle are one shingle; repeated rows are documents
@@ -34,6 +35,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -255,36 +257,85 @@ def _prefix_length(size: Column, similarity: float) -> Column:
     return size - F.ceil(F.lit(similarity - 1e-9) * size) + 1
 
 
-def _shared_pairs(sketches: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: all pairs of ``sketches(node, hashes)`` not connected yet that can be of that similarity."""
-    # one slice of the hashes after the other, so that only a slice is on its way at a time
+def _by_frequency(sets: DataFrame, group: list[str]) -> DataFrame:
+    """``node, shared``: the hashes of ``sets(node, hashes)`` that another set of the ``group`` has too, rarest first.
+
+    One slice of the hashes goes after the other, so that only a slice is on its way at a time.
+    """
     slices = []
     for i in range(HASH_SLICES):
-        rows = sketches.select("node", F.explode(F.filter("hashes", lambda h: F.pmod(h, F.lit(HASH_SLICES)) == i)).alias("hash"))
-        common = kept(rows.groupBy(F.col("hash").alias("_hash")).agg(F.count("*").alias("n")).where("n > 1"), "near-common")
-        release(sketches.sparkSession)
-        slices.append(kept(rows.join(common, F.col("hash") == F.col("_hash")).select("node", "n", "hash"), "near-shared"))
-        release(sketches.sparkSession)
+        rows = sets.select("node", *group, F.explode(F.filter("hashes", lambda h: F.pmod(h, F.lit(HASH_SLICES)) == i)).alias("hash"))
+        counts = rows.groupBy(F.col("hash").alias("_hash"), *[F.col(g).alias(f"_{g}") for g in group])
+        common = kept(counts.agg(F.count("*").alias("n")).where("n > 1"), "near-common")
+        release(sets.sparkSession)
+        same = reduce(and_, [F.col(g) == F.col(f"_{g}") for g in ("hash", *group)])
+        slices.append(kept(rows.join(common, same).select("node", "n", "hash"), "near-shared"))
+        release(sets.sparkSession)
         forget(common)
-    sizes = sketches.select(F.col("node").alias("_of"), F.size("hashes").alias("size"))
-    mine = (reduce(DataFrame.unionByName, slices).groupBy("node")
+    return (reduce(DataFrame.unionByName, slices).groupBy("node")
             .agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("shared")))
-    alone = F.col("size") - F.size("shared")
-    firsts = (mine.join(sizes, F.col("node") == F.col("_of"))
-              .withColumn("left", (_prefix_length(F.col("size"), similarity) - alone).cast("int")).where(F.col("left") > 0)
-              .select("node", "size", F.explode(F.slice("shared", 1, F.col("left"))["hash"]).alias("key")).distinct())
-    keys = kept(firsts.join(roots, F.col("node") == F.col("_node"), "left")
-                .select("key", "node", "size", F.coalesce("root", "node").alias("root")), "near-prefixes")
-    release(sketches.sparkSession)
-    # buckets in which something is left to compare
-    open_ = kept(keys.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-                 .where("lo <> hi").select("_key"), "near-open")
-    left = kept(keys.join(open_, F.col("key") == F.col("_key"), "left_semi"), "near-left")
-    right = left.select(F.col("key").alias("_key"), F.col("node").alias("_other"), F.col("size").alias("_size"), F.col("root").alias("_root"))
-    return (left.join(right, F.col("key") == F.col("_key"))
-            .where((F.col("node") < F.col("_other")) & (F.col("root") != F.col("_root"))
+
+
+def _meeting(keys: DataFrame, group: list[str], open_if: str, wanted: Column, similarity: float) -> DataFrame:
+    """``a, b``: pairs of ``keys`` that meet in a key, are not connected yet, fit in size and are ``wanted``.
+
+    ``open_if`` says of a bucket's extremes whether there is something left to compare in it.
+    """
+    extremes = [f(c).alias(f"{name}_{c}") for c in ("root", "centre") for f, name in ((F.min, "low"), (F.max, "high"))]
+    same = reduce(and_, [F.col(g) == F.col(f"_{g}") for g in ("key", *group)])
+    open_ = kept(keys.groupBy(*[F.col(g).alias(f"_{g}") for g in ("key", *group)]).agg(*extremes).where(open_if)
+                 .select("_key", *[f"_{g}" for g in group]), "near-open")
+    left = kept(keys.join(open_, same, "left_semi"), "near-left")
+    right = left.select(*[F.col(c).alias(f"_{c}") for c in left.columns])
+    return (left.join(right, same)
+            .where((F.col("node") < F.col("_node")) & (F.col("root") != F.col("_root")) & wanted
                    & (F.least("size", "_size") >= F.lit(similarity - 1e-9) * F.greatest("size", "_size")))
-            .select(F.col("node").alias("a"), F.col("_other").alias("b")).distinct())
+            .select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct())
+
+
+def _shared_pairs(crowd: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs of ``crowd(node, hashes, centre, root)`` with different centres that can be of that similarity."""
+    sized = _by_frequency(crowd, []).join(
+        crowd.select(F.col("node").alias("_of"), F.size("hashes").alias("size"), "centre", "root"), F.col("node") == F.col("_of"))
+    firsts = (sized.withColumn("alone", F.col("size") - F.size("shared"))
+              .withColumn("left", (_prefix_length(F.col("size"), similarity) - F.col("alone")).cast("int")).where(F.col("left") > 0)
+              .select("node", "size", "centre", "root", "alone",
+                      F.posexplode(F.slice("shared", 1, F.col("left"))["hash"]).alias("at", "key")))
+    # how many hashes a node has from this one on
+    keys = kept(firsts.withColumn("rest", F.col("size") - F.col("alone") - F.col("at")).drop("alone", "at"), "near-prefixes")
+    release(crowd.sparkSession)
+    # all that two sets share lies from their first common hash on; at that one the rest of either must hold as much
+    needed = F.lit(similarity / (1 + similarity) - 1e-9) * (F.col("size") + F.col("_size"))
+    return _meeting(keys, [], "low_root <> high_root and low_centre <> high_centre",
+                    (F.col("centre") != F.col("_centre")) & (F.least("rest", "_rest") >= needed), similarity)
+
+
+def _twin_pairs(crowd: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs of ``crowd(node, hashes, centre, root)`` with the same centre that can be of that similarity.
+
+    The sets differ in what just one of their differences from the centre holds. Where both differences
+    together are small enough, either set is alike to the centre, and they are connected already. All other
+    pairs must have part of their differences in common: near copies of one text share
+    nearly all their hashes, but few of their differences.
+    """
+    base = centres.select(F.col("node").alias("_base"), F.col("hashes").alias("base"))
+    apart = F.array_union(F.array_except("hashes", "base"), F.array_except("base", "hashes"))
+    deltas = kept(crowd.join(base, F.col("centre") == F.col("_base"))
+                  .select("node", "centre", "root", F.size("hashes").alias("size"), apart.alias("hashes")), "near-deltas")
+    sized = _by_frequency(deltas, ["centre"]).join(
+        deltas.select(F.col("node").alias("_of"), F.size("hashes").alias("apart"), "size", "centre", "root"), F.col("node") == F.col("_of"))
+    # alike sets differ in so many hashes at most: by the size of one, and by both
+    most = F.lit((1 - similarity) / similarity + 1e-9) * F.col("size")
+    fewest = F.greatest(F.lit(1), F.ceil(F.col("apart") - most))
+    firsts = (sized.withColumn("alone", F.col("apart") - F.size("shared"))
+              .withColumn("left", (F.col("apart") - fewest + 1 - F.col("alone")).cast("int")).where(F.col("left") > 0)
+              .select("node", "size", "centre", "root", "apart", "alone",
+                      F.posexplode(F.slice("shared", 1, F.col("left"))["hash"]).alias("at", "key")))
+    keys = kept(firsts.withColumn("rest", F.col("apart") - F.col("alone") - F.col("at")).drop("alone", "at"), "near-prefixes")
+    release(crowd.sparkSession)
+    differ = F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (F.col("size") + F.col("_size"))
+    needed = (F.col("apart") + F.col("_apart") - differ) / 2
+    return _meeting(keys, ["centre"], "low_root <> high_root", F.least("rest", "_rest") >= needed, similarity)
 
 
 def near_duplicates(rows: DataFrame, row: str, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -306,8 +357,15 @@ def near_duplicates(rows: DataFrame, row: str, shingle: int = 5, similarity: flo
              .select("key", "node", F.coalesce("root", "node").alias("root")))
     open_ = large.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     unsettled = kept(large.join(open_, "key", "left_semi").select("node").distinct(), "near-unsettled")
-    crowd = _hash_sets(texts, unsettled, shingle)
-    rest = _alike(kept(_shared_pairs(crowd, roots, similarity), "near-pairs"), texts, shingle, similarity)
+    centre_of = members.groupBy("node").agg(F.min("lo").alias("centre"))
+    placed = kept(unsettled.join(centre_of, "node").join(roots, F.col("node") == F.col("_node"), "left")
+                  .select(F.col("node").alias("_of"), "centre", F.coalesce("root", "node").alias("root")), "near-placed")
+    both = placed.select(F.col("_of").alias("node")).unionByName(placed.select(F.col("centre").alias("node"))).distinct()
+    found = _hash_sets(texts, both, shingle)
+    crowd = kept(found.join(placed, F.col("node") == F.col("_of")).drop("_of"), "near-crowd")
+    pairs = _twin_pairs(crowd, found, similarity).unionByName(_shared_pairs(crowd, similarity))
+    rest = _alike(kept(pairs, "near-pairs"), texts, shingle, similarity)
+    forget(found)
     forget(crowd)
     roots = kept(components(links.unionByName(rest)).withColumnRenamed("node", "_node"), "near-roots")
     named = nodes.select(F.col("digest").alias("_digest"), "node").join(roots, F.col("node") == F.col("_node"), "left")
