@@ -742,3 +742,16 @@ for _name in ("silver_features", "clean_categories", "quality_checks", "default_
     for _plain, _said in MEANT:
         _sql = _sql.replace(_plain, _said)
     ORACLE[f"{_name}_gappy"] = _sql
+
+# ---- files: what jobs and sinks stored, read back ------------------------------------------
+raw("bank_csv", f"SELECT {BANK}, {USED} FROM graded")
+raw("bronze_bank", f"SELECT {BANK}, {USED}, 'kaggle_internal_bank' AS _source FROM graded")
+raw("bronze_bureau", f"SELECT {BUREAU}, {INCOME}, 'kaggle_cibil_external' AS _source FROM graded")
+ORACLE["bronze_applications"] = ORACLE["application_summary"]
+ORACLE["silver_stored"] = ORACLE["silver_features"]
+ORACLE["metrics_stored"] = ORACLE["portfolio_summary"]
+raw("tables_exported", """SELECT 'exported_' || t.name AS table_name, count(*) AS row_count, count(DISTINCT PROSPECTID) AS borrowers
+ FROM graded CROSS JOIN (VALUES ('dim_borrower'), ('dim_credit'), ('dim_loan_portfolio'), ('fact_credit_risk')) AS t(name)
+ GROUP BY t.name""")
+silver("report_by_sql", """SELECT income_tier, cibil_band, count(*) AS borrowers, sum(default_risk)::BIGINT AS defaults
+ FROM silver GROUP BY income_tier, cibil_band""")

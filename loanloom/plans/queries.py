@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanloom import constants as K
-from loanloom.book import GappyBook, LoanBook
+from loanloom import schemas
+from loanloom.book import GappyBook, LoanBook, shared_folder
 from loanloom.functions.ordered import fill_median
 from loanloom.functions.rounding import settle
 from loanloom.operators import (clustering, explain, export, gold, modelling, policy, portfolio,
                                 profile, quality, reports, scoring, silver, stats)
-from loanloom.sources import ingest
-from loanloom.sources.tables import read_table
+from loanloom.sources import catalog, ingest, sinks
+from loanloom.sources.tables import read_csv, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,6 +134,82 @@ GAPPY = ("CC_utilization", "PL_utilization", "Age_Oldest_TL", "Age_Newest_TL")
 query("median_fill_all")(lambda book: fill_median(
     book.bank().select(K.KEY, *[F.nullif(F.col(c).cast("double"), F.lit(float(K.NOT_APPLICABLE))).alias(c) for c in GAPPY]), GAPPY))
 
+# ---- files: what jobs and sinks stored, read back ------------------------------------------
+def _target(book: LoanBook, name: str) -> str:
+    """A new folder beside the written layers."""
+    folder = shared_folder(book.spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{folder.rstrip('/')}/loanloom/{book.spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}/{name}"
+
+
+@query("bank_csv")
+def _bank_csv(book):
+    path = _target(book, "bank.csv")
+    sinks.write_csv(book.bank(), path)
+    return read_csv(book.spark, path, schemas.BANK)
+
+
+@query("bronze_bank")
+def _bronze_bank(book):
+    path = _target(book, "bank.csv")
+    sinks.write_csv(book.bank(), path)
+    return ingest.ingest_internal_bank(book.spark, path, _target(book, "bronze")).drop("_ingested_at")
+
+
+@query("bronze_bureau")
+def _bronze_bureau(book):
+    path = _target(book, "bureau.parquet")
+    sinks.write_parquet(book.bureau(), path)
+    return ingest.ingest_bureau(book.spark, path, _target(book, "bronze")).drop("_ingested_at")
+
+
+@query("bronze_applications")
+def _bronze_applications(book):
+    path = _target(book, "applications.csv")
+    sinks.write_csv(_raw(book, "orders").select(
+        (F.col("o_orderstatus") == "F").cast("int").alias("Disbursed"), F.col("o_totalprice").alias("Loan_Amount_Applied"),
+        *[F.lit(None).cast("double").alias(c) for c in schemas.LOAN_APPLICATIONS.fieldNames()[2:]]), path)
+    stored = ingest.ingest_loan_applications(book.spark, path, _target(book, "bronze"))
+    return ingest.application_summary(silver.drop_metadata(stored))
+
+
+@query("silver_stored")
+def _silver_stored(book):
+    path = _target(book, "silver.parquet")
+    sinks.write_silver(book.silver(), path)
+    return sinks.read_silver(book.spark, path)
+
+
+@query("metrics_stored")
+def _metrics_stored(book):
+    record, path = portfolio.portfolio_summary(book.scored()), _target(book, "metrics")
+    sinks.write_json(record, path)
+    return sinks.read_json(book.spark, path, record.schema)
+
+
+@query("tables_exported")
+def _tables_exported(book):
+    """Rows and keys of every exported table."""
+    tables = {f"exported_{name}": book.gold(name) for name in ("dim_borrower", "dim_credit", "dim_loan_portfolio", "fact_credit_risk")}
+    catalog.register(tables)
+    listed = [name for name in catalog.table_names(book.spark) if name in tables]
+    paths = catalog.export_tables(book.spark, listed, _target(book, "gold"))
+    counted = [book.spark.read.parquet(path).agg(
+        F.lit(name).alias("table_name"), F.count("*").alias("row_count"), F.countDistinct("borrower_id").alias("borrowers"))
+        for name, path in zip(listed, paths, strict=True)]
+    return reduce(DataFrame.unionByName, counted)
+
+
+@query("report_by_sql")
+def _report_by_sql(book):
+    catalog.register({"silver_for_sql": book.silver()})
+    return catalog.run_sql(book.spark, """
+        -- lines of comment are no part of a statement
+        SELECT income_tier, cibil_band, count(*) AS borrowers, sum(default_risk) AS defaults
+        FROM silver_for_sql GROUP BY income_tier, cibil_band;""")
+
+
 # ---- star schema -------------------------------------------------------------------------
 for _name in ("dim_borrower", "dim_credit", "dim_loan_portfolio", "fact_credit_risk"):
     query(_name)(lambda book, name=_name: book.gold(name))
