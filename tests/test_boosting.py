@@ -134,3 +134,12 @@ def test_equal_keys_stay_together(spark):
 def test_first_splits_need_no_trees(book):
     found = modelling.first_splits(book.silver(), (1.0,)).collect()
     assert {r["feature"] for r in found} <= {*K.FEATURES, *K.ENGINEERED_FEATURES} and all(r["gain"] > 0 for r in found[:1])
+
+
+def test_bin_limits_are_exact_beyond_the_size_of_a_sketch(spark):
+    rng = np.random.default_rng(11)
+    values = np.column_stack([rng.normal(size=20_001), np.round(rng.exponential(size=20_001), 2), rng.integers(0, 3, 20_001)])
+    table = spark.createDataFrame([tuple(map(float, x)) for x in values], "a double, b double, c double").repartition(7)
+    found = boosting.bin_edges(table, FEATURES)
+    ranks = [math.ceil(i / 64 * len(values)) - 1 for i in range(1, 64)]
+    assert found == [sorted(set(np.sort(values[:, i])[ranks])) for i in range(3)]
