@@ -76,3 +76,10 @@ def test_lines_without_product_still_count(spark, folder, tmp_path):
     totals = [borrowers.order_summary(spark, where).selectExpr("sum(lines)", "sum(loans)", "sum(late)", "sum(missed)").first()
               for where in (folder, str(tmp_path))]
     assert totals[0] == totals[1]
+
+
+def test_lines_are_not_counted_before_their_order_is_together(spark, folder):
+    # counts held for lines that lie anywhere would be a wide group for nearly each of them
+    plan = borrowers.order_summary(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    upper, lower = plan.split("REPARTITION_BY_COL", 1)
+    assert "HashAggregate" in upper and "HashAggregate" not in lower.split("Subquery")[0]
