@@ -143,3 +143,18 @@ def test_bin_limits_are_exact_beyond_the_size_of_a_sketch(spark):
     found = boosting.bin_edges(table, FEATURES)
     ranks = [math.ceil(i / 64 * len(values)) - 1 for i in range(1, 64)]
     assert found == [sorted(set(np.sort(values[:, i])[ranks])) for i in range(3)]
+
+
+def test_blocks_use_the_cores_and_one_array_reaches_the_driver(spark, rows, monkeypatch):
+    monkeypatch.setattr(blocks, "CORE_BYTES", 5000)
+    found = blocks.matrix_blocks(rows, FEATURES, 900)
+    assert found.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("summed", "")
+    try:
+        total = blocks.summed(found, lambda m: m.sum(axis=0))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    last = max(s for j in jobs.getJobIdsForGroup("summed") for s in jobs.getJobInfo(j).stageIds)
+    assert jobs.getStageInfo(last).numTasks == 1
+    assert np.allclose(total, [sum(r[c] for r in rows.collect()) for c in FEATURES])
