@@ -12,9 +12,10 @@ one bit of theirs instead: two fingerprints within two bits meet in one of these
 meet are within two bits of each other, and each is linked to the smallest there. Both ways are
 exact, and neither forms the pairs of a large group.
 
-``near_duplicates`` finds documents of a Jaccard similarity of ``SIMILARITY`` over five-word shingles. That
-is up to about a fifth of a fingerprint's bits, for which Golay keys find part of the pairs only; so this search
-goes over the shingle hashes. In any common order of the hashes two sets of that similarity share one
+``near_duplicates`` finds documents of a Jaccard similarity of ``SIMILARITY`` over five-word shingles. It starts
+from fingerprints and Golay keys: what these link and whole sets confirm is connected. Such a similarity may be
+up to about a fifth of a fingerprint's bits, for which Golay keys find part of the pairs only; so for the rest the search
+goes on over the shingle hashes. In any common order of the hashes two sets of that similarity share one
 among the first fifth of each. By value, that fifth makes the keys, and of a document that has such a partner
 about 0.8 of them recur: where less than 0.7 of them less four standard errors (``_least_shared``) do, it has none.
 That is the only place left to chance: a pair at 0.8 falls below it by more than four standard errors only.
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import fresh, forget, kept, numbered, release, ship
+from loanloom.llm.common import fresh, forget, kept, numbered, release, ship, sweep, written
 from loanloom.llm.components import components
 from loanloom.llm.golay import neighbour_keys
 
@@ -154,25 +155,27 @@ def fingerprint_text(fp: Column) -> Column:
 
 
 def _shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``row, doc_id, digest, size, keys``: 128 bits that stand for the set of hashes, its size, and its first hashes by value."""
+    """``row, doc_id, fp, digest, size, keys``: fingerprint, 128 bits that stand for the set of hashes, its size, its first hashes by value."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            digests, sizes, keys = [], [], []
+            prints, digests, sizes, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
-                hashes = np.unique(shingle_hashes(text, shingle).view(np.int64))
+                found = shingle_hashes(text, shingle)
+                prints.append(majority(found))
+                hashes = np.unique(found.view(np.int64))
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 sizes.append(len(hashes))
                 keys.append(hashes[:len(hashes) - math.ceil((similarity - 1e-9) * len(hashes)) + 1])
             yield pa.RecordBatch.from_pydict({
-                "row": batch.column("row"), "doc_id": batch.column("doc_id"), "digest": pa.array(digests, pa.binary()),
-                "size": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                "row": batch.column("row"), "doc_id": batch.column("doc_id"), "fp": pa.array(prints, pa.int64()),
+                "digest": pa.array(digests, pa.binary()), "size": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("row", "doc_id", "text").mapInArrow(
-        add, f"row long, doc_id {kind}, digest binary, size int, keys array<long>")
+        add, f"row long, doc_id {kind}, fp long, digest binary, size int, keys array<long>")
 
 
 def _hash_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -227,9 +230,31 @@ def _members(nodes: DataFrame, similarity: float) -> DataFrame:
     return members.join(hot, F.col("node") == F.col("_node"), "left").withColumn("hot", F.coalesce("hot", F.lit(0))).drop("_node")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """``a, b``: every member of a bucket with the smallest node of all its buckets."""
-    return members.groupBy(F.col("node").alias("b")).agg(F.min("lo").alias("a")).where("a <> b").select("a", "b")
+def _print_pairs(nodes: DataFrame) -> DataFrame:
+    """Written: ``a, b``: nodes with the smallest node of their fingerprint, and of fingerprints that Golay keys link those nodes."""
+    spark = nodes.sparkSession
+    prints = kept(nodes.groupBy("fp").agg(F.min("node").alias("first")), "near-prints")
+    mark = written()
+    links = kept(close_links(prints), "near-print-links", lasting=True)
+    sweep(spark, mark)
+    own = prints.select(F.col("fp").alias("_fp"), "first")
+    same = nodes.join(own, F.col("fp") == F.col("_fp")).select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b")
+    left = own.select(F.col("_fp").alias("_fa"), F.col("first").alias("_a"))
+    right = own.select(F.col("_fp").alias("_fb"), F.col("first").alias("_b"))
+    close = (links.join(left, F.col("a") == F.col("_fa")).join(right, F.col("b") == F.col("_fb"))
+             .select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+    pairs = kept(same.unionByName(close), "near-pairs")
+    forget(links)
+    return pairs
+
+
+def _stars(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b``: every member of a bucket with the smallest node of all its buckets, if they are not connected yet."""
+    stars = members.groupBy(F.col("node").alias("b")).agg(F.min("lo").alias("a")).where("a <> b")
+    for end in ("a", "b"):
+        known = roots.select(F.col("_node").alias(f"_{end}"), F.col("root").alias(f"root_{end}"))
+        stars = stars.join(known, F.col(end) == F.col(f"_{end}"), "left")
+    return stars.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def _bucket_pairs(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -343,10 +368,12 @@ def near_duplicates(rows: DataFrame, row: str, shingle: int = 5, similarity: flo
     texts = rows.select("doc_id", F.col(row).alias("row"), "text")
     sets = kept(_shingle_sets(texts, shingle, similarity), "near-rows")
     # equal sets are one node: the smallest row that has the set
-    nodes = kept(sets.groupBy("digest").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")), "near-nodes")
+    nodes = kept(sets.groupBy("digest").agg(F.min("row").alias("node"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")), "near-nodes")
+    sure = _alike(_print_pairs(nodes), texts, shingle, similarity)
+    roots = kept(components(sure).withColumnRenamed("node", "_node"), "near-roots")
     members = kept(_members(nodes, similarity), "near-members")
     release(rows.sparkSession)
-    links = _alike(kept(_stars(members), "near-pairs"), texts, shingle, similarity)
+    links = sure.unionByName(_alike(kept(_stars(members, roots), "near-pairs"), texts, shingle, similarity))
     roots = kept(components(links).withColumnRenamed("node", "_node"), "near-roots")
     more = _alike(kept(_bucket_pairs(members, roots, similarity), "near-pairs"), texts, shingle, similarity)
     links = links.unionByName(more)

@@ -363,3 +363,17 @@ def test_successors_and_edits(spark, odd, nothing, folder):
     assert len({r["fingerprint"] for r in pairs if r["doc_id"] in (1, 2)}) == 1
     assert fingerprints.edited_pairs(nothing).count() == 0
     assert fingerprints.edited_pairs(odd.where("doc_id = 7")).first()["near_next"] == 1
+
+
+def test_near_duplicates_start_from_golay_keys(spark, monkeypatch):
+    # no pair but those of fingerprints is compared
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "_stars", lambda *_: none)
+    monkeypatch.setattr(simhash, "_bucket_pairs", lambda *_: none)
+    rng = random.Random(31)
+    texts = [t for _ in range(30) for t in _altered(rng, 600, 1)]
+    prints = [simhash.majority(simhash.shingle_hashes(t, 5)) for t in texts]
+    close = {i for i in range(0, 60, 2) if ((prints[i] ^ prints[i + 1]) & (1 << 64) - 1).bit_count() <= 2}
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, _row long, text string")
+    group = {r["row"]: r["group"] for r in simhash.near_duplicates(rows, "_row").collect()}
+    assert len(close) >= 5 and {i for i in range(0, 60, 2) if group[i] == group[i + 1]} == close
