@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loanloom.llm.common import ship
+from loanloom.llm.common import pieces, ship
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
@@ -127,7 +127,7 @@ def profiles(rows: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndar
     """
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
             names, groups = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object), return_inverse=True)
             for a, b in stretches(texts):
@@ -153,7 +153,7 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text",
     matrix = np.stack([learned[n] for n in names]) if names else np.zeros((0, 1))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(text).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             places = [i for i, t in enumerate(texts) if has_letter(t)] if names else []

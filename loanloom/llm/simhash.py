@@ -42,8 +42,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from loanloom.llm.common import fresh, forget, kept, numbered, release, ship, sweep, written
+from loanloom.llm.common import fresh, forget, kept, numbered, pieces, release, ship, sweep, written
 from loanloom.llm.components import components
 from loanloom.llm.golay import neighbour_keys
 
@@ -86,7 +87,7 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """All columns but ``text``, with ``fp``."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [majority(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
             rest = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.int64())], [*rest.schema.names, "fp"])
@@ -103,7 +104,7 @@ def _segment(fp: np.ndarray, i: int) -> np.ndarray:
 def golay_keys(prints: DataFrame) -> DataFrame:
     """``key, fp``: exact bits of each segment with the Golay indices of the next one."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             fp = batch.column("fp").to_numpy()
             for i in range(len(SEGMENTS)):
                 place, index = neighbour_keys(_segment(fp, (i + 1) % len(SEGMENTS)).astype(np.int64))
@@ -159,7 +160,7 @@ def _shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in pieces(batches):
             prints, digests, sizes, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_hashes(text, shingle)
@@ -179,14 +180,19 @@ def _shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame
 
 
 def _hash_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Written: ``node, hashes`` of the ``wanted`` nodes, rows of ``texts``."""
+    """Written: ``node, hashes`` of the ``wanted`` nodes, rows of ``texts``, and the other columns of ``wanted``."""
+    others = [f for f in wanted.schema.fields if f.name != "node"]
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [np.unique(shingle_hashes(text, shingle).view(np.int64)) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "hashes": pa.array(sets, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "hashes": pa.array(sets, pa.list_(pa.int64())),
+                                              **{f.name: batch.column(f.name) for f in others}})
 
-    some = texts.select(F.col("row").alias("node"), "text").join(wanted, "node", "left_semi")
-    return kept(some.mapInArrow(add, "node long, hashes array<long>"), "near-sets")
+    names = wanted.select(F.col("node").alias("_of"), *[f.name for f in others])
+    some = texts.select(F.col("row").alias("node"), "text").join(names, F.col("node") == F.col("_of")).drop("_of")
+    kind = StructType([*StructType.fromDDL("node long, hashes array<long>"), *others])
+    return kept(some.mapInArrow(add, kind), "near-sets")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -386,14 +392,17 @@ def near_duplicates(rows: DataFrame, row: str, shingle: int = 5, similarity: flo
     unsettled = kept(large.join(open_, "key", "left_semi").select("node").distinct(), "near-unsettled")
     centre_of = members.groupBy("node").agg(F.min("lo").alias("centre"))
     placed = kept(unsettled.join(centre_of, "node").join(roots, F.col("node") == F.col("_node"), "left")
-                  .select(F.col("node").alias("_of"), "centre", F.coalesce("root", "node").alias("root")), "near-placed")
-    both = placed.select(F.col("_of").alias("node")).unionByName(placed.select(F.col("centre").alias("node"))).distinct()
-    found = _hash_sets(texts, both, shingle)
-    crowd = kept(found.join(placed, F.col("node") == F.col("_of")).drop("_of"), "near-crowd")
-    pairs = _twin_pairs(crowd, found, similarity).unionByName(_shared_pairs(crowd, similarity))
+                  .select("node", "centre", F.coalesce("root", "node").alias("root")), "near-placed")
+    # whole sets are written once, with the place of their node; centres that have none follow
+    crowd = _hash_sets(texts, placed, shingle)
+    far = placed.select(F.col("centre").alias("node")).distinct().join(placed.select(F.col("node").alias("_of")), F.col("node") == F.col("_of"), "left_anti")
+    beside = _hash_sets(texts, far, shingle)
+    release(rows.sparkSession)
+    centres = crowd.select("node", "hashes").unionByName(beside)
+    pairs = _twin_pairs(crowd, centres, similarity).unionByName(_shared_pairs(crowd, similarity))
     rest = _alike(kept(pairs, "near-pairs"), texts, shingle, similarity)
-    forget(found)
     forget(crowd)
+    forget(beside)
     roots = kept(components(links.unionByName(rest)).withColumnRenamed("node", "_node"), "near-roots")
     named = nodes.select(F.col("digest").alias("_digest"), "node").join(roots, F.col("node") == F.col("_node"), "left")
     groups = named.select("_digest", F.coalesce("root", "node").alias("group"))

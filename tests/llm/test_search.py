@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
@@ -13,7 +14,7 @@ from cases import lines
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loanloom.llm import fingerprints, golay, lang_id, packing, queries, simhash, suffix_dedup
+from loanloom.llm import common, fingerprints, golay, lang_id, packing, queries, simhash, suffix_dedup
 from loanloom.llm.components import components
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -377,3 +378,42 @@ def test_near_duplicates_start_from_golay_keys(spark, monkeypatch):
     rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, _row long, text string")
     group = {r["row"]: r["group"] for r in simhash.near_duplicates(rows, "_row").collect()}
     assert len(close) >= 5 and {i for i in range(0, 60, 2) if group[i] == group[i + 1]} == close
+
+
+def test_whole_sets_of_the_last_search_are_written_once(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRED_BUCKET", 4)
+    written, kept = [], simhash.kept
+
+    def noted(df, name, **options):
+        stored = kept(df, name, **options)
+        written.append((name, [r["node"] for r in stored.select("node").collect()] if "hashes" in stored.columns else []))
+        return stored
+
+    monkeypatch.setattr(simhash, "kept", noted)
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(400)]
+    texts = []
+    for _ in range(24):
+        words = list(base)
+        for at in rng.sample(range(400), 20):
+            words[at] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, _row long, text string")
+    simhash.near_duplicates(rows, "_row").collect()
+    names = [name for name, _ in written]
+    sets = [n for _, nodes in written[names.index("near-placed"):names.index("near-deltas")] for n in nodes]
+    assert len(sets) > 4 and len(sets) == len(set(sets))
+
+
+def test_python_takes_small_pieces_of_large_batches():
+    whole = pa.RecordBatch.from_pydict({"text": [f"t{i}" for i in range(1234)]})
+    parts = list(common.pieces(iter([whole, whole.slice(0, 0), whole.slice(7, 1)])))
+    assert max(p.num_rows for p in parts) <= common.BATCH_ROWS
+    assert [t for p in parts for t in p.column("text").to_pylist()] == [f"t{i}" for i in [*range(1234), 7]]
+
+
+def test_hash_sets_keep_what_is_known_of_their_nodes(spark):
+    texts = spark.createDataFrame([(i, f"a b c d e {i}") for i in range(1100)], "row long, text string").coalesce(1)
+    wanted = spark.range(5, 1100).select(F.col("id").alias("node"), (F.col("id") * 2).alias("centre"))
+    got = {r["node"]: (r["centre"], r["hashes"]) for r in simhash._hash_sets(texts, wanted, 5).collect()}
+    assert got == {i: (2 * i, np.unique(simhash.shingle_hashes(f"a b c d e {i}", 5).view(np.int64)).tolist()) for i in range(5, 1100)}
